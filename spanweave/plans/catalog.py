@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from . import nested_queries
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(nested_queries.QUERIES)
 
 
-def oracle_sql():
+def oracle_sql() -> dict[str, str]:
     return {}
