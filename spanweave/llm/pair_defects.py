@@ -38,8 +38,8 @@ REFUSALS = (
 
 # Words that show a language of the Latin script.
 FUNCTION_WORDS = {
-    "en": "the of and in on at by from with to was were who had that which for is are because until before after between",
-    "de": "der die das dem den des und aus nach mit von vor neben einem einer eine ein im am ist sind wurde nur alten großen über",
+    "en": "the of and in on at by from with to was were who had that which for is are because until before after between every each no only about below above along during",
+    "de": "der die das dem den des und aus nach mit von vor neben einem einer eine ein im am ist sind wurde nur jedes jeder im alten großen über",
     "es": "el la los las del una uno en de por para con después antes muy sobre cerca río entre",
     "fr": "le les des une du dans sur avec près après avant au aux et très par",
     "it": "il lo gli della delle nel nella sul con dopo prima vicino per molto",
