@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import read_table
 from . import pair_defects, truncation
+from .cross_split import cross_split_pairs
 from .tables import answers_in_context, contexts
 from .unicode_forms import lookalike_rows
 
@@ -74,6 +75,35 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pair_defects.defects(answers_in_context(spark, d), q).select("qa_id", "defect").distinct()
 
 
+def _context_pairs(spark: SparkSession, d: str) -> DataFrame:
+    p = read_table(spark, d, "paragraphs", "context_id", "split", "context").toDF("id", "split", "text")
+    return cross_split_pairs(p, width=4, similarity=0.5, bands=32, rows=2, least_words=30)
+
+
+def _question_pairs(spark: SparkSession, d: str) -> DataFrame:
+    q = read_table(spark, d, "qas", "id", "split", "question").toDF("id", "split", "text")
+    return cross_split_pairs(q, width=1, similarity=0.85, bands=16, rows=3, sharp=1.0)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _context_pairs(spark, d).withColumn("kind", F.lit("context")).unionByName(
+        _question_pairs(spark, d).withColumn("kind", F.lit("question"))
+    )
+    return pairs.select(
+        "kind", F.least("train_id", "eval_id").alias("id_1"), F.greatest("train_id", "eval_id").alias("id_2")
+    ).distinct()
+
+
+def p7_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping pairs of contexts per evaluation split and source."""
+    p = read_table(spark, d, "paragraphs", "context_id", "split", "source").dropDuplicates(["context_id"])
+    return (
+        _context_pairs(spark, d).join(p.withColumnRenamed("context_id", "eval_id"), "eval_id")
+        .groupBy("split", F.coalesce("source", F.lit("")).alias("source"))
+        .agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_records"))
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         k: v for k, v in globals().items()
