@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import read_table
 from . import pair_defects, truncation
 from .cross_split import cross_split_pairs
+from .sentence_alignment import aligned_sentences
 from .tables import answers_in_context, contexts
 from .unicode_forms import lookalike_rows
 
@@ -40,6 +41,14 @@ def p2_respelled(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).dropDuplicates(["tab", "row_id"])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    links = aligned_sentences(read_table(spark, d, "paragraphs", "context_id", "orig_context_id", "context"))
+    return links.select(
+        F.col("source_id").alias("en_context_id"), F.col("source_sent").alias("en_sent"),
+        F.col("target_id").alias("te_context_id"), F.col("target_sent").alias("te_sent"),
+    )
+
+
 def _cut_contexts(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_texts(read_table(spark, d, "paragraphs", "context_id", "context", "source"), "context_id", "context")
 
