@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import read_table
 from . import pair_defects, truncation
+from .chunks import split_texts
 from .cross_split import cross_split_pairs
 from .sentence_alignment import aligned_sentences
 from .tables import answers_in_context, contexts
@@ -22,6 +23,11 @@ def _texts(spark: SparkSession, d: str) -> list[tuple[str, str, str, DataFrame]]
     ]
 
 
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    contexts_once = read_table(spark, d, "paragraphs", "context_id", "context").dropDuplicates(["context_id"])
+    return split_texts(contexts_once, "context_id", "context", limit=500, overlap=100)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [
         lookalike_rows(df, text, key).select(F.lit(tab).alias("tab"), F.col(key).cast("string").alias("row_id"))
