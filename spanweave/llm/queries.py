@@ -11,6 +11,7 @@ from ..session import read_table
 from . import pair_defects, truncation
 from .chunks import split_texts
 from .cross_split import cross_split_pairs
+from .packing import fill_report, pack
 from .sentence_alignment import aligned_sentences
 from .tables import answers_in_context, contexts
 from .unicode_forms import lookalike_rows
@@ -119,6 +120,14 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(read_table(spark, d, "documents", "doc_id", "text", "source"), capacity=512)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p8_containers(spark, d), 512)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         k: v for k, v in globals().items()
