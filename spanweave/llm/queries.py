@@ -11,6 +11,7 @@ from ..session import read_table
 from . import pair_defects, truncation
 from .chunks import split_texts
 from .cross_split import cross_split_pairs
+from .mixing import mix
 from .packing import fill_report, pack
 from .sentence_alignment import aligned_sentences
 from .tables import answers_in_context, contexts
@@ -93,12 +94,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _context_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = read_table(spark, d, "paragraphs", "context_id", "split", "context").toDF("id", "split", "text")
-    return cross_split_pairs(p, width=4, similarity=0.5, bands=32, rows=2, least_words=30)
+    return cross_split_pairs(p, width=4, similarity=0.5, bands=20, rows=2, least_words=30)
 
 
 def _question_pairs(spark: SparkSession, d: str) -> DataFrame:
     q = read_table(spark, d, "qas", "id", "split", "question").toDF("id", "split", "text")
-    return cross_split_pairs(q, width=1, similarity=0.85, bands=16, rows=3, sharp=1.0)
+    return cross_split_pairs(q, width=1, similarity=0.85, bands=24, rows=3, sharp=1.25)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +129,16 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p8_containers(spark, d), 512)
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents", "doc_id", "text", "source")
+    return mix(docs, read_table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents", "doc_id", "text", "source")
+    return mix(docs, read_table(spark, d, "mix_targets"))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         k: v for k, v in globals().items()
