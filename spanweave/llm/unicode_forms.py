@@ -43,11 +43,17 @@ SUSPECT = (
     "\\u205f-\\u206f\\u3000\\u3164\\ufb00-\\ufb06\\ufe00-\\ufe0f\\ufeff\\uff01-\\uff5e\\uffe0-\\uffe6\\u0300-\\u036f"
     "\\u0c80-\\u0cff]|\\u0c46\\u0c56"
     "|[A-Za-z\\u00c0-\\u024f][\\u0370-\\u03ff\\u0400-\\u052f]|[\\u0370-\\u03ff\\u0400-\\u052f][A-Za-z\\u00c0-\\u024f]"
-    "|[\\u0c00-\\u0c7f][A-Za-z\\u0370-\\u052f]|[\\u0370-\\u03ff][\\u0400-\\u052f]|[\\u0400-\\u052f][\\u0370-\\u03ff]"
+    "|[\\u0c00-\\u0c7f][\\u0370-\\u052f]|[\\u0370-\\u03ff][\\u0400-\\u052f]|[\\u0400-\\u052f][\\u0370-\\u03ff]"
     "|(?<![\\p{L}\\p{M}])[" + "".join(sorted(LATIN_LOOKALIKES)) + "]{1,24}(?![\\p{L}\\p{M}])"
     "|[\\ud835][\\udc00-\\udfff]"
 )
 
+# Everything outside these ranges makes a text worth the closer look of SUSPECT.
+UNUSUAL = (
+    "[^\\x00-\\x7f\\u00a1-\\u00ac\\u00ae-\\u024f\\u0900-\\u097f\\u0b80-\\u0bff\\u0c00-\\u0c55\\u0c57-\\u0c7f"
+    "\\u2012-\\u2027\\u2030-\\u205e\\u2070-\\u2fff]"
+)
+
 _RUN = re.compile(r"(?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏॢॣஂ-்ఀ-ఄ఼-ౖౢౣಁ-ಃ಼-ೖ])+")
 _INVISIBLE = re.compile("[\\u00ad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180e\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u206f\\u3164\\ufe00-\\ufe0f\\ufeff]")
 _BLANK = re.compile("[\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]")
@@ -139,7 +145,7 @@ def _canonical_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def is_suspect(text: Column) -> Column:
     """Whether a text may hold another spelling (native; no false negatives)."""
-    return F.coalesce(text.rlike(SUSPECT), F.lit(False))
+    return F.coalesce(text.rlike(UNUSUAL) & text.rlike(SUSPECT), F.lit(False))
 
 
 def canonical_column(df: DataFrame, column: str, out: str) -> DataFrame:
