@@ -66,11 +66,22 @@ def has_script(x: Column, block: str = r"\x{c00}-\x{c7f}") -> Column:
 
 
 def find_all(text: Column, needle: Column) -> Column:
-    """0-based starts of all occurrences, overlapping ones too; none for null or empty needles."""
-    last = F.length(text) - F.length(needle)
-    places = F.when((F.length(needle) > 0) & (last >= 0) & F.contains(text, needle), F.sequence(F.lit(0), last))
-    hits = F.filter(places, lambda i: F.substring(text, i + 1, F.length(needle)) == needle)
-    return F.coalesce(hits, F.array().cast("array<int>"))
+    """0-based starts of all occurrences, overlapping ones too; none for null or empty needles.
+
+    The text is split before every occurrence (an empty match that looks ahead); the starts are
+    the running sums of the pieces' lengths.
+    """
+    quoted = F.concat(F.lit("(?=\\Q"), F.regexp_replace(needle, r"\\E", r"\\E\\\\E\\Q"), F.lit("\\E)"))
+    pieces = F.when((F.length(needle) > 0) & F.contains(text, needle), F.split(text, quoted))
+    start = F.struct(F.lit(0).alias("at"), F.when(F.startswith(text, needle), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("all"))
+    last = F.size(pieces)
+
+    def step(s: Column, p: Column) -> Column:
+        at = s["at"] + F.length(p)
+        return F.struct(at.alias("at"), F.concat(s["all"], F.array(at)).alias("all"))
+
+    found = F.aggregate(F.slice(pieces, 1, F.greatest(last - 1, F.lit(0))), start, step, lambda s: s["all"])
+    return F.coalesce(found, F.array().cast("array<int>"))
 
 
 def word_boundary(text: Column, at: Column, forward: bool) -> Column:

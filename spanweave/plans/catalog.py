@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nested_queries
+from . import model_queries, nested_queries, qa_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(nested_queries.QUERIES)
+    return qa_queries.QUERIES | model_queries.QUERIES | nested_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return qa_queries.SQL | model_queries.SQL
