@@ -100,7 +100,7 @@ def _context_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _question_pairs(spark: SparkSession, d: str) -> DataFrame:
     q = read_table(spark, d, "qas", "id", "split", "question").toDF("id", "split", "text")
-    return cross_split_pairs(q, width=1, similarity=0.85, bands=24, rows=3, sharp=1.25)
+    return cross_split_pairs(q, width=1, similarity=0.85, bands=20, rows=3, sharp=1.25, common_share=0.0005)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
