@@ -1,12 +1,14 @@
 """Same or nearly the same records across splits (problem 7).
 
-Method: minwise hashing of shingles with banded buckets. Words common in the corpus make
-shingles that unrelated records share, so each shingle has a weight that falls with the
-frequency of its words; the minimum of exponential variates divided by the weights draws a
-shingle with probability proportional to its weight, hence two records agree in one minimum
-with the probability of their weighted Jaccard similarity. Buckets pair train records with
-validation or test records only; the exact, unweighted Jaccard similarity of each candidate
-pair is then verified, and the pairs can be counted by split and source.
+Method: an exact prefix-filter join of shingle sets. All records order their shingles alike,
+from those of the rarest words to those of the commonest. Two records with the required
+Jaccard similarity share so much that they share a shingle already among the first few of
+each (the prefix, whose length follows from the similarity), or ``agree`` shingles if the
+prefix is longer by ``agree - 1``; these are the buckets. No pair is lost, however common its
+words are, and as prefixes hold the rarest shingles, unrelated records seldom meet. Buckets
+pair train records with validation or test records only; pairs whose sizes or shared prefix
+shingles cannot reach the similarity are dropped, the exact, unweighted Jaccard similarity of
+the others is then verified, and the pairs can be counted by split and source.
 
 Exact copies (the same words in the same order) share a representative: buckets and
 verification see it once, and the copies are put back at the end. Null texts and texts below
@@ -18,9 +20,11 @@ candidate records are read again for the verification.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -34,6 +38,7 @@ from .unicode_forms import canonical
 BROADCAST_BYTES = 16 << 20
 #: The filter of buckets has this many bits (as a power of 2): 4 MB.
 FILTER_BITS = 25
+_BLOCKS = 64
 _KEPT = 500_000
 
 
@@ -100,21 +105,19 @@ def common_words(df: DataFrame, share: float = 0.002) -> dict[str, float]:
 
 
 class Shingler:
-    """Distinct shingle hashes and weights of texts."""
+    """Distinct shingle hashes of texts and the rarity of their words."""
 
-    def __init__(self, width: int, common: dict[str, float], sharp: float, common_share: float):
+    def __init__(self, width: int, common: dict[str, float], common_share: float):
         import xxhash
 
         self._hash = xxhash.xxh64_intdigest
         self.words, self.width = Words(), width
         self.rare = float(-np.log(common_share / 2))
         self.idf = {w: float(-np.log(min(p, 0.999))) for w, p in common.items()}
-        self.full = self.rare * (1.0 if width == 1 else 1.5)
-        self.sharp = sharp
         self.ids: dict[str, tuple[int, float]] = {}
 
     def __call__(self, words: list[str]):
-        """Hashes and idf sums of the distinct shingles: arrays, or sequences for single words."""
+        """Hashes of the distinct shingles and the idf sums of their words: arrays, or sequences for single words."""
         width, ids = self.width, self.ids
         if len(ids) > _KEPT:
             ids.clear()
@@ -137,74 +140,66 @@ class Shingler:
         out, first = np.unique(_mix(mixed), return_index=True)
         return out, weight[first]
 
-    def weights(self, idf_sums: np.ndarray) -> np.ndarray:
-        """Full weight for shingles with rare words, falling steeply with common ones."""
-        return np.exp(np.float32(self.sharp) * (np.minimum(idf_sums, np.float32(self.full)) - np.float32(self.full)))
 
+def least_shared(n: int, similarity: float) -> int:
+    """Of ``n`` shingles, how many any record with the required similarity shares at least."""
+    return max(1, math.ceil(similarity * n - 1e-9))
 
-def sketches(grams: np.ndarray, weights: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Bucket keys (texts x bands) of texts laid end to end; ``starts``: where each one begins."""
-    count = bands * rows
-    minima = np.empty((len(starts), count), np.uint32)
-    seeds = _mix(np.arange(1, count + 1, dtype=np.uint64))
-    inverse = (1.0 / weights).astype(np.float32)
-    bounds = np.append(starts, len(grams))
-    at = 0
-    with np.errstate(over="ignore"):
-        while at < len(starts):  # blocks that stay in the processor's cache
-            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 8192, side="right")) - 1)
-            g, w, begins = grams[bounds[at] : bounds[to]], inverse[bounds[at] : bounds[to]], bounds[at:to] - bounds[at]
-            for k in range(count):
-                x = (g ^ seeds[k]) * np.uint64(0xBF58476D1CE4E5B9)
-                x ^= x >> np.uint64(32)
-                x *= np.uint64(0x94D049BB133111EB)
-                u = (x >> np.uint64(40)).astype(np.float32)
-                u += np.float32(0.5)
-                u *= np.float32(2.0**-24)
-                np.log(u, out=u)
-                u *= w
-                # Equal shingles have equal variates, so the extreme itself names the shingle.
-                minima[at:to, k] = np.maximum.reduceat(u, begins).view(np.uint32)
-            at = to
-    m = minima.astype(np.uint64).reshape(len(starts), bands, rows)
-    key = _mix(m[:, :, 0])
-    for r in range(1, rows):
-        key = _mix(key ^ m[:, :, r])
-    return _mix(key ^ _mix(np.arange(bands, dtype=np.uint64) + np.uint64(77)))
-
-
-def _sketcher(make: Callable[[], Shingler], bands: int, rows: int, least_words: int) -> Callable:
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def prefix_keys(grams: Sequence[int], rarity: Sequence[float], similarity: float, agree: int = 1) -> list[int]:
+    """Bucket keys of one record: two records with the required similarity have one in common.
+
+    With m shared shingles at least, the first ``agree`` shared ones are among the first
+    n - m + agree of either record, in any order that both follow. Where so few are shared that
+    ``agree`` is too much, both have keys of fewer shingles.
+    """
+    n = len(grams)
+    m = least_shared(n, similarity)
+    order = np.lexsort((np.asarray(grams, np.uint64), -np.asarray(rarity))) if n > 32 else sorted(range(n), key=lambda i: (-rarity[i], grams[i]))
+    first = [int(grams[i]) for i in order[: n - m + agree]]
+    if agree == 1:
+        return [hash((1, g)) for g in first]
+    out = []
+    for k in range(min(agree, least_shared(m, similarity)), min(agree, m) + 1):  # m is also the least size of a similar record
+        out += [hash((k, *c)) for c in combinations(first[: n - m + k], k)]
+    return out
+
+
+def _signer(make: Callable[[], Shingler], similarity: float, agree: int, least_words: int, bits: np.ndarray | None = None) -> Callable:
+    """Rows (id, rep, n, buckets) of records; only buckets in the bitmap ``bits``, if there is one."""
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         shingle = make()
         for pdf in batches:
-            keep, parts, sums, starts, reps, n = [], [], [], [], [], 0
+            keep, reps, sizes, keys = [], [], [], []
             for i, text in enumerate(pdf["text"]):
                 words = shingle.words(text)
                 if len(words) < max(least_words, shingle.width):
                     continue
-                grams, idf = shingle(words)
+                grams, rarity = shingle(words)
                 keep.append(i)
-                parts.append(grams)
-                sums.append(idf)
-                starts.append(n)
                 reps.append(xxhash.xxh64_intdigest(" ".join(words)))
-                n += len(grams)
-            out = pdf.iloc[keep][["id", "train"]].copy()
+                sizes.append(len(grams))
+                keys.append(prefix_keys(grams, rarity, similarity, agree))
+            out = pdf.iloc[keep][["id"]].copy()
             out["rep"] = np.array(reps, np.uint64).view(np.int64)
-            if keep:
-                if shingle.width == 1:  # short texts: one array for the batch, not one for each
-                    grams, idf = np.array([g for p in parts for g in p], np.uint64), np.array([s for p in sums for s in p], np.float32)
-                else:
-                    grams, idf = np.concatenate(parts), np.concatenate(sums)
-                keys = sketches(grams, shingle.weights(idf), np.array(starts), bands, rows)
-                out["buckets"] = list(keys.view(np.int64))
-            else:
-                out["buckets"] = []
+            out["n"] = np.array(sizes, np.int32)
+            out["buckets"] = _kept(keys, bits) if keep else []
             yield out
 
-    return sketch
+    return sign
+
+
+def _kept(keys: list[list[int]], bits: np.ndarray | None) -> list[np.ndarray]:
+    """Mixed keys of each record, without those that the bitmap does not have."""
+    mixed = _mix(np.array([k for ks in keys for k in ks], np.int64).view(np.uint64))
+    bounds = np.cumsum([len(ks) for ks in keys])
+    if bits is not None:
+        k = mixed >> np.uint64(64 - FILTER_BITS)
+        on = (bits[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63)) & np.uint64(1)).astype(bool)
+        mixed, bounds = mixed[on], np.cumsum(on)[bounds - 1]
+    return np.split(mixed.view(np.int64), bounds[:-1])
 
 
 def _setter(make: Callable[[], Shingler]) -> Callable:
@@ -216,14 +211,19 @@ def _setter(make: Callable[[], Shingler]) -> Callable:
     return sets
 
 
-def _bucket_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _bucket_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
     for pdf in batches:
         if len(pdf):
             k = np.concatenate(pdf["buckets"].to_numpy()).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
             np.bitwise_or.at(bits, (k >> np.uint64(6)).astype(np.int64), np.uint64(1) << (k & np.uint64(63)))
-    at = np.flatnonzero(bits)
-    yield pd.DataFrame({"at": at, "bits": bits[at].view(np.int64)})
+    blocks = [(i, b.tobytes()) for i, b in enumerate(bits.reshape(_BLOCKS, -1)) if b.any()]
+    yield pd.DataFrame(blocks, columns=["block", "bits"])
+
+
+def _any_bits(pdf: pd.DataFrame) -> pd.DataFrame:
+    bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint64) for b in pdf["bits"]])
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [bits.tobytes()]})
 
 
 def bucket_filter(signed: DataFrame) -> np.ndarray:
@@ -231,52 +231,54 @@ def bucket_filter(signed: DataFrame) -> np.ndarray:
 
     With very many rows it fills up and filters less, but never loses a bucket.
     """
-    rows = signed.select("buckets").mapInPandas(_bucket_words, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    found = rows.toPandas()
-    bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return bits
-
-
-def _kept_buckets(bits: np.ndarray) -> Callable:
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            n = len(pdf["buckets"].iloc[0])
-            keys = np.concatenate(pdf["buckets"].to_numpy()).view(np.uint64)
-            k = keys >> np.uint64(64 - FILTER_BITS)
-            on = (bits[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63)) & np.uint64(1)).astype(bool)
-            yield pd.DataFrame({"a": np.repeat(pdf["rep"].to_numpy(), n)[on], "bucket": keys[on].view(np.int64)})
-
-    return keep
+    schema = "block int, bits binary"
+    rows = signed.select("buckets").mapInPandas(_bucket_bits, schema).groupBy("block").applyInPandas(_any_bits, schema)
+    bits = np.zeros((_BLOCKS, (1 << FILTER_BITS - 6) // _BLOCKS), np.uint64)
+    for r in rows.collect():
+        bits[r["block"]] = np.frombuffer(r["bits"], np.uint64)
+    return bits.ravel()
 
 
 def cross_split_pairs(
-    df: DataFrame, width: int, similarity: float, bands: int, rows: int, least_words: int = 1, sharp: float = 1.0, common_share: float = 0.002
+    df: DataFrame, width: int, similarity: float, agree: int = 1, least_words: int = 1, common_share: float = 0.002
 ) -> DataFrame:
-    """Pairs (train_id, eval_id, jaccard) of ``df`` (id, split, text) across splits.
+    """All pairs (train_id, eval_id, jaccard) of ``df`` (id, split, text) across splits.
 
     ``width``: words per shingle; ``similarity``: least exact Jaccard similarity of the shingle
-    sets; ``bands`` x ``rows``: the signature. A pair at weighted similarity s is a candidate
-    with probability 1 - (1 - s**rows)**bands.
+    sets; ``agree``: shingles in a bucket key. More make fewer chance meetings but more keys, and
+    change no result.
     """
     base = df.where("text is not null").select("id", (F.col("split") == "train").alias("train"), "text")
     common = common_words(base, common_share)
 
     def make() -> Shingler:
-        return Shingler(width, common, sharp, common_share)
-
-    signed = materialize(
-        base.mapInPandas(_sketcher(make, bands, rows, least_words), "id string, train boolean, rep long, buckets array<long>"), "signed"
+        return Shingler(width, common, common_share)
+
+    def sign(rows: DataFrame, name: str, bits: np.ndarray | None = None) -> DataFrame:
+        schema = "id string, rep long, n int, buckets array<long>"
+        return materialize(rows.select("id", "text").mapInPandas(_signer(make, similarity, agree, least_words, bits), schema), name)
+
+    # Train buckets that no evaluation record has are dropped at once.
+    evals = sign(base.where("not train"), "evals")
+    train = sign(base.where("train"), "train", bucket_filter(evals))
+    signed = train.select("id", "rep", F.lit(True).alias("train")).unionByName(evals.select("id", "rep", F.lit(False).alias("train")))
+    members = signed.dropDuplicates(["id"])
+
+    def exploded(rows: DataFrame, rep: str, n: str) -> DataFrame:
+        keys = rows.select(F.col("rep").alias(rep), F.col("n").alias(n), F.explode("buckets").alias("bucket"))
+        return keys.repartition("bucket").dropDuplicates(["bucket", rep])
+
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    met = (
+        exploded(train, "a", "n_a").join(exploded(evals, "b", "n_b"), "bucket")
+        .where((F.col("a") != F.col("b")) & (small >= similarity * large - 1e-9))
+        .groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count("*").alias("n_met"))
     )
-    members = signed.select("id", "train", "rep").dropDuplicates(["id"])
-
-    # Train buckets that no evaluation record has are dropped before the shuffle.
-    evals = signed.where("not train")
-    hits = signed.where("train").select("rep", "buckets").mapInPandas(_kept_buckets(bucket_filter(evals)), "a long, bucket long")
-    b = evals.select(F.col("rep").alias("b"), F.explode("buckets").alias("bucket"))
-    candidates = materialize(hits.join(b, "bucket").where("a <> b").select("a", "b").distinct(), "candidates")
+    if agree == 1:
+        # Beyond the shingles that meet, the shared ones follow the prefix of either record.
+        rest = F.ceil(similarity * large - 1e-9) - 1
+        met = met.where(F.col("n_met") + rest >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    candidates = materialize(met.select("a", "b"), "candidates")
     wanted = candidates.select(F.col("a").alias("rep")).union(candidates.select("b")).distinct()
     texts = signed.select("id", "rep").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("id").alias("id"))
     texts = materialize(texts, "wanted")
@@ -293,8 +295,8 @@ def cross_split_pairs(
         .select("a", "b", (inter / (F.size("grams_a") + F.size("grams_b") - inter)).alias("jaccard"))
         .where(F.col("jaccard") >= similarity)
     )
-    train = members.where("train").select(F.col("id").alias("train_id"), F.col("rep").alias("a"))
-    evals = members.where("not train").select(F.col("id").alias("eval_id"), F.col("rep").alias("b"))
-    near = train.join(verified, "a").join(evals, "b").select("train_id", "eval_id", "jaccard")
-    same = train.join(evals, F.col("a") == F.col("b")).select("train_id", "eval_id", F.lit(1.0).alias("jaccard"))
+    trained = members.where("train").select(F.col("id").alias("train_id"), F.col("rep").alias("a"))
+    evaluated = members.where("not train").select(F.col("id").alias("eval_id"), F.col("rep").alias("b"))
+    near = trained.join(verified, "a").join(evaluated, "b").select("train_id", "eval_id", "jaccard")
+    same = trained.join(evaluated, F.col("a") == F.col("b")).select("train_id", "eval_id", F.lit(1.0).alias("jaccard"))
     return near.unionByName(same)

@@ -95,12 +95,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _context_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = read_table(spark, d, "paragraphs", "context_id", "split", "context").toDF("id", "split", "text")
-    return cross_split_pairs(p, width=4, similarity=0.5, bands=20, rows=2, least_words=30)
+    return cross_split_pairs(p, width=4, similarity=0.5, least_words=30)
 
 
 def _question_pairs(spark: SparkSession, d: str) -> DataFrame:
     q = read_table(spark, d, "qas", "id", "split", "question").toDF("id", "split", "text")
-    return cross_split_pairs(q, width=1, similarity=0.85, bands=20, rows=3, sharp=1.25, common_share=0.0005)
+    return cross_split_pairs(q, width=1, similarity=0.85, agree=2, common_share=0.0005)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,0 +1,56 @@
+import random
+
+from spanweave.llm import queries
+
+
+def tables(spark, folder, **rows):
+    for name, (schema, values) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def split_of(i):
+    return "train" if i % 3 else "validation"
+
+
+def test_pairs_of_common_words_are_found(spark, tmp_path):
+    """Copies of a template differ in one rare word: what they share is common, what they differ in is rare."""
+    rng = random.Random(3)
+    template = "in which year was the old bridge of the town over river called built".split()
+    words = [f"w{i}" for i in range(4000)]
+    boilerplate = " ".join(f"b{i}" for i in range(40))
+    asked, shown = [], []
+    for i in range(300):
+        rare = " ".join(rng.sample(words, 13))
+        asked.append((f"q{i:03}", split_of(i), " ".join([*template, f"name{i}"]) if i < 60 else rare))
+        own = " ".join(f"c{i}x{k}" for k in range(15))
+        shown.append((f"p{i:03}", split_of(i), f"{boilerplate} {own}" if i < 60 else " ".join(rng.choices(words, k=50))))
+    d = tables(spark, tmp_path, qas=("id string, split string, question string", asked), paragraphs=("context_id string, split string, context string", shown))
+    found = {(r["kind"], r["id_1"], r["id_2"]) for r in queries.p7_found(spark, d).collect()}
+    expected = set()
+    for kind, rows, width, least in (("question", asked, 1, 0.85), ("context", shown, 4, 0.5)):
+        sets = []
+        for key, split, text in rows:
+            w = text.split()
+            sets.append((key, split, {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}))
+        for a, sa, x in sets:
+            for b, sb, y in sets:
+                if a < b and (sa == "train") != (sb == "train") and len(x & y) >= least * len(x | y):
+                    expected.add((kind, a, b))
+    assert len({e for e in expected if e[0] == "question"}) >= 800 and len({e for e in expected if e[0] == "context"}) >= 800
+    assert found == expected
+
+
+def test_similar_sets_share_a_bucket():
+    from spanweave.llm.cross_split import prefix_keys
+
+    rng = random.Random(8)
+    rarity = {g: rng.choice([0.5, 1.0, 2.0]) for g in range(60)}
+    for similarity in (0.5, 0.7, 0.85):
+        for agree in (1, 2, 3):
+            for _ in range(1500):
+                x = rng.sample(range(60), rng.randint(1, 45))
+                y = list(set(x) - set(rng.sample(x, rng.randint(0, len(x) // 2))) | set(rng.sample(range(60), rng.randint(0, 5))))
+                if y and len({*x} & {*y}) / len({*x} | {*y}) >= similarity:
+                    keys = [set(prefix_keys(s, [rarity[g] for g in s], similarity, agree)) for s in (x, y)]
+                    assert keys[0] & keys[1]
