@@ -185,7 +185,7 @@ def _signer(make: Callable[[], Shingler], similarity: float, agree: int, least_w
             out = pdf.iloc[keep][["id"]].copy()
             out["rep"] = np.array(reps, np.uint64).view(np.int64)
             out["n"] = np.array(sizes, np.int32)
-            out["buckets"] = _kept(keys, bits) if keep else []
+            out["buckets"] = pd.Series(_kept(keys, bits) if keep else [], out.index, dtype=object)
             yield out
 
     return sign

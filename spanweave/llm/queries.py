@@ -113,11 +113,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping pairs of contexts per evaluation split and source."""
+    """Overlapping pairs of contexts and of questions per evaluation split and source.
+
+    A question has its own split, and the source of its paragraph.
+    """
     p = read_table(spark, d, "paragraphs", "context_id", "split", "source").dropDuplicates(["context_id"])
+    q = read_table(spark, d, "qas", "id", "context_id", "split").dropDuplicates(["id"])
+    rows = p.select(F.lit("context").alias("kind"), F.col("context_id").alias("eval_id"), "split", "source").unionByName(
+        q.join(p.select("context_id", "source"), "context_id", "left")
+        .select(F.lit("question").alias("kind"), F.col("id").alias("eval_id"), "split", "source")
+    )
+    pairs = _context_pairs(spark, d).withColumn("kind", F.lit("context")).unionByName(
+        _question_pairs(spark, d).withColumn("kind", F.lit("question"))
+    )
     return (
-        _context_pairs(spark, d).join(p.withColumnRenamed("context_id", "eval_id"), "eval_id")
-        .groupBy("split", F.coalesce("source", F.lit("")).alias("source"))
+        pairs.join(rows, ["kind", "eval_id"])
+        .groupBy("kind", "split", F.coalesce("source", F.lit("")).alias("source"))
         .agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_records"))
     )
 

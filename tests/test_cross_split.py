@@ -54,3 +54,15 @@ def test_similar_sets_share_a_bucket():
                 if y and len({*x} & {*y}) / len({*x} | {*y}) >= similarity:
                     keys = [set(prefix_keys(s, [rarity[g] for g in s], similarity, agree)) for s in (x, y)]
                     assert keys[0] & keys[1]
+
+
+def test_counts_have_both_kinds(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(40))
+    shown = [("a", "train", "web", text), ("b", "test", None, text), ("c", "validation", "app", "short")]
+    asked = [("1", "a", "train", "who built it"), ("2", "c", "test", "who built it"), ("3", "b", "validation", "Who built it?"), ("3", "b", "validation", "Who built it?")]
+    d = tables(
+        spark, tmp_path, paragraphs=("context_id string, split string, source string, context string", shown),
+        qas=("id string, context_id string, split string, question string", asked),
+    )
+    rows = {(r["kind"], r["split"], r["source"]): (r["n_pairs"], r["n_records"]) for r in queries.p7_counts(spark, d).collect()}
+    assert rows == {("context", "test", ""): (1, 1), ("question", "test", "app"): (1, 1), ("question", "validation", ""): (1, 1)}
