@@ -62,11 +62,13 @@ def _cut_contexts(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_texts(read_table(spark, d, "paragraphs", "context_id", "context", "source"), "context_id", "context")
 
 
+def _judged_answers(spark: SparkSession, d: str) -> DataFrame:
+    cut = truncation.stops_inside_word(F.col("usual"), F.col("context"), F.col("answer_start"))
+    return answers_in_context(spark, d).select(F.col("answer_id").cast("string").alias("row_id"), "source", cut.alias("cut"))
+
+
 def _cut_answers(spark: SparkSession, d: str) -> DataFrame:
-    a = answers_in_context(spark, d)
-    return a.where(truncation.stops_inside_word(F.col("usual"), F.col("context"), F.col("answer_start"))).select(
-        F.col("answer_id").cast("string").alias("row_id"), "source"
-    )
+    return _judged_answers(spark, d).where("cut").select("row_id", "source")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,14 +78,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:
-    """For each source: contexts, cut contexts and their share."""
+    """For each source and tab (paragraphs, answers): texts, cut texts and their share.
+
+    An answer has the source of its paragraph.
+    """
+    source = F.coalesce("source", F.lit("")).alias("source")
     p = read_table(spark, d, "paragraphs", "context_id", "source").dropDuplicates(["context_id"])
-    n = p.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n_contexts"))
+    n = p.groupBy(source).agg(F.count("*").alias("n_texts"))
     cut = _cut_contexts(spark, d).groupBy("source").agg(F.count("*").alias("n_cut"))
-    return n.join(cut, "source", "left").select(
-        "source", "n_contexts", F.coalesce("n_cut", F.lit(0)).alias("n_cut"),
-        F.round(F.coalesce("n_cut", F.lit(0)) / F.col("n_contexts"), 6).alias("cut_share"),
+    shown = n.join(cut, "source", "left").select("source", F.lit("paragraphs").alias("tab"), "n_texts", F.coalesce("n_cut", F.lit(0)).alias("n_cut"))
+    given = (
+        _judged_answers(spark, d).groupBy(source).agg(F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"))
+        .select("source", F.lit("answers").alias("tab"), "n_texts", "n_cut")
     )
+    return shown.unionByName(given).withColumn("cut_share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

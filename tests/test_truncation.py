@@ -1,0 +1,19 @@
+from spanweave.llm import queries
+
+
+def test_rates_have_contexts_and_answers(spark, tmp_path):
+    rows = {
+        "paragraphs": ("context_id string, source string, context string", [
+            ("a", "form", "The bridge was built by careful engineers."), ("b", None, "The river is long."), ("c", "form", "It was built by care"),
+        ]),
+        "qas": ("id string, context_id string, question string, is_impossible boolean", [("1", "a", "By whom?", False), ("2", "b", "What is long?", None)]),
+        "answers": ("answer_id long, qa_id string, text string, answer_start int", [
+            (1, "1", "careful engin", 24), (1, "1", "careful engin", 24), (2, "1", "engineers", 32), (3, "2", "The river", 0),
+        ]),
+    }
+    for name, (schema, values) in rows.items():
+        spark.createDataFrame(values, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = {(r["source"], r["tab"]): (r["n_texts"], r["n_cut"], r["cut_share"]) for r in queries.p5_rates(spark, str(tmp_path)).collect()}
+    assert found == {
+        ("form", "paragraphs"): (2, 1, 0.5), ("", "paragraphs"): (1, 0, 0.0), ("form", "answers"): (2, 1, 0.5), ("", "answers"): (1, 0, 0.0),
+    }
