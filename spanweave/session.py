@@ -15,20 +15,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only where a single machine runs everything (a local master) a temporary folder takes its
+    place; on a cluster a missing setting is an error, as each executor would write to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spanweave-")
-        spark.conf.set("spark.checkpoint.dir", named) if _settable(spark) else None
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
-    except Exception:
-        return False
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables; it is deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/spanweave-{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -38,15 +46,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     nothing. Used where an intermediate result is read by several jobs or by an iteration.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanweave/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def size_of(df: DataFrame) -> int | None:
-    """Catalyst's estimate of the plan's bytes, for guarding broadcasts; None when unknown."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except Exception:
-        return None
+def clean(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that still read them must be written first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
