@@ -10,9 +10,12 @@ pair train records with validation or test records only; pairs whose sizes or sh
 shingles cannot reach the similarity are dropped, the exact, unweighted Jaccard similarity of
 the others is then verified, and the pairs can be counted by split and source.
 
-Exact copies (the same words in the same order) share a representative: buckets and
-verification see it once, and the copies are put back at the end. Null texts and texts below
-``least_words`` words have no pairs. Nothing is capped or sampled.
+Exact copies (the same words in the same order) form a class: buckets and verification see its
+representative once. ``cross_split_classes`` gives the pairs of classes and the membership,
+whose size is that of the input; only ``cross_split_pairs`` writes out the pairs of members.
+Null texts and texts below ``least_words`` words have no pairs. Nothing is capped or sampled.
+
+A bucket that many train records have is cut into salted parts, so that no task holds it whole.
 
 Only words and hashes leave the Python stages; texts are never shuffled, except that those of
 candidate records are read again for the verification.
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .unicode_forms import canonical
 
-#: Candidate keys up to this many bytes are broadcast to the second read; more are shuffled.
-BROADCAST_BYTES = 16 << 20
+#: Hash slots of the ids that the second read keeps; at most this many are broadcast.
+SLOTS = 1 << 19
+#: A bucket with more train records than this is cut into salted parts of about this size.
+HOT_ROWS = 10_000
 #: The filter of buckets has this many bits (as a power of 2): 4 MB.
 FILTER_BITS = 25
 _BLOCKS = 64
@@ -239,11 +244,28 @@ def bucket_filter(signed: DataFrame) -> np.ndarray:
     return bits.ravel()
 
 
-def cross_split_pairs(
+def _meetings(trained: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of ``trained`` (bucket, a, n_a) and ``asked`` (bucket, b, n_b) that share a bucket.
+
+    Buckets with more than ``HOT_ROWS`` train records, of which there can be at most (keys /
+    ``HOT_ROWS``), are cut by a hash of the record; their evaluation records go to every part.
+    """
+    count = trained.groupBy("bucket").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_ROWS)
+    hot = materialize(count.join(asked.select("bucket"), "bucket", "left_semi").select("bucket", F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("parts")), "hot")
+    if hot.isEmpty():
+        return trained.join(asked, "bucket")
+    parts = F.broadcast(hot)
+    trained = trained.join(parts, "bucket", "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), "parts")).cast("int"))
+    asked = asked.join(parts, "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return trained.drop("parts").join(asked.drop("parts"), ["bucket", "salt"])
+
+
+def cross_split_classes(
     df: DataFrame, width: int, similarity: float, agree: int = 1, least_words: int = 1, common_share: float = 0.002
-) -> DataFrame:
-    """All pairs (train_id, eval_id, jaccard) of ``df`` (id, split, text) across splits.
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes (a: train side, b: evaluation side, jaccard) and members (id, rep, train).
 
+    ``df``: id, split, text. A class that has records on both sides is a pair with itself.
     ``width``: words per shingle; ``similarity``: least exact Jaccard similarity of the shingle
     sets; ``agree``: shingles in a bucket key. More make fewer chance meetings but more keys, and
     change no result.
@@ -262,7 +284,6 @@ def cross_split_pairs(
     evals = sign(base.where("not train"), "evals")
     train = sign(base.where("train"), "train", bucket_filter(evals))
     signed = train.select("id", "rep", F.lit(True).alias("train")).unionByName(evals.select("id", "rep", F.lit(False).alias("train")))
-    members = signed.dropDuplicates(["id"])
 
     def exploded(rows: DataFrame, rep: str, n: str) -> DataFrame:
         keys = rows.select(F.col("rep").alias(rep), F.col("n").alias(n), F.explode("buckets").alias("bucket"))
@@ -270,7 +291,7 @@ def cross_split_pairs(
 
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     met = (
-        exploded(train, "a", "n_a").join(exploded(evals, "b", "n_b"), "bucket")
+        _meetings(exploded(train, "a", "n_a"), exploded(evals, "b", "n_b"))
         .where((F.col("a") != F.col("b")) & (small >= similarity * large - 1e-9))
         .groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count("*").alias("n_met"))
     )
@@ -280,14 +301,12 @@ def cross_split_pairs(
         met = met.where(F.col("n_met") + rest >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9)
     candidates = materialize(met.select("a", "b"), "candidates")
     wanted = candidates.select(F.col("a").alias("rep")).union(candidates.select("b")).distinct()
-    texts = signed.select("id", "rep").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("id").alias("id"))
-    texts = materialize(texts, "wanted")
-    # The second read: a checked size decides between a broadcast and a shuffle.
-    keys = F.broadcast(texts) if texts.count() * 48 <= BROADCAST_BYTES else texts
-    sets = materialize(
-        base.select("id", "text").join(keys, "id").select("rep", "text").mapInPandas(_setter(make), "rep long, grams array<long>")
-        .dropDuplicates(["rep"]), "sets"
-    )
+    wanted = materialize(signed.select("id", "rep").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("id").alias("id")), "wanted")
+    # The second read: only texts in a wanted hash slot are shuffled, by id.
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
+    slots = F.broadcast(wanted.select(slot).distinct())
+    read = base.select("id", "text", slot).join(slots, "slot", "left_semi").drop("slot").join(wanted.hint("merge"), "id")
+    sets = materialize(read.select("rep", "text").mapInPandas(_setter(make), "rep long, grams array<long>").dropDuplicates(["rep"]), "sets")
     inter = F.size(F.array_intersect("grams_a", "grams_b"))
     verified = (
         candidates.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("grams_a")), "a")
@@ -295,8 +314,26 @@ def cross_split_pairs(
         .select("a", "b", (inter / (F.size("grams_a") + F.size("grams_b") - inter)).alias("jaccard"))
         .where(F.col("jaccard") >= similarity)
     )
+    members = signed.dropDuplicates(["id"])
+    both = signed.groupBy("rep").agg(F.bool_or("train").alias("t"), F.bool_and("train").alias("only")).where("t and not only")
+    same = both.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"))
+    return verified.unionByName(same), members
+
+
+def cross_split_pairs(df: DataFrame, *args, **kwargs) -> DataFrame:
+    """All pairs (train_id, eval_id, jaccard) of records, written out from the pairs of classes."""
+    pairs, members = cross_split_classes(df, *args, **kwargs)
     trained = members.where("train").select(F.col("id").alias("train_id"), F.col("rep").alias("a"))
     evaluated = members.where("not train").select(F.col("id").alias("eval_id"), F.col("rep").alias("b"))
-    near = trained.join(verified, "a").join(evaluated, "b").select("train_id", "eval_id", "jaccard")
-    same = trained.join(evaluated, F.col("a") == F.col("b")).select("train_id", "eval_id", F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same)
+    return trained.join(pairs, "a").join(evaluated, "b").select("train_id", "eval_id", "jaccard")
+
+
+def pairs_per_record(df: DataFrame, *args, **kwargs) -> DataFrame:
+    """(eval_id, n_pairs): how many train records each evaluation record is paired with.
+
+    Counted from the classes and their sizes; the pairs themselves are not written out.
+    """
+    pairs, members = cross_split_classes(df, *args, **kwargs)
+    sizes = members.where("train").groupBy(F.col("rep").alias("a")).agg(F.count("*").alias("n"))
+    per_class = pairs.join(sizes, "a").groupBy(F.col("b").alias("rep")).agg(F.sum("n").alias("n_pairs"))
+    return members.where("not train").join(per_class, "rep").select(F.col("id").alias("eval_id"), "n_pairs")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import read_table
 from . import pair_defects, truncation
 from .chunks import split_texts
-from .cross_split import cross_split_pairs
+from .cross_split import cross_split_pairs, pairs_per_record
 from .mixing import mix
 from .packing import fill_report, pack
 from .personal_data import Finder, find_items, fit_finder, redact
@@ -101,23 +101,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pair_defects.defects(answers_in_context(spark, d), q).select("qa_id", "defect").distinct()
 
 
-def _context_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = read_table(spark, d, "paragraphs", "context_id", "split", "context").toDF("id", "split", "text")
-    return cross_split_pairs(p, width=4, similarity=0.5, least_words=30)
-
-
-def _question_pairs(spark: SparkSession, d: str) -> DataFrame:
-    q = read_table(spark, d, "qas", "id", "split", "question").toDF("id", "split", "text")
-    return cross_split_pairs(q, width=1, similarity=0.85, agree=2, common_share=0.0005)
+def _texts_by_split(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, dict]]:
+    """Per kind the records (id, split, text) and the definition of a pair."""
+    return {
+        "context": (read_table(spark, d, "paragraphs", "context_id", "split", "context").toDF("id", "split", "text"),
+                    {"width": 4, "similarity": 0.5, "least_words": 30}),
+        "question": (read_table(spark, d, "qas", "id", "split", "question").toDF("id", "split", "text"),
+                     {"width": 1, "similarity": 0.85, "agree": 2, "common_share": 0.0005}),
+    }
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _context_pairs(spark, d).withColumn("kind", F.lit("context")).unionByName(
-        _question_pairs(spark, d).withColumn("kind", F.lit("question"))
-    )
-    return pairs.select(
-        "kind", F.least("train_id", "eval_id").alias("id_1"), F.greatest("train_id", "eval_id").alias("id_2")
-    ).distinct()
+    parts = [
+        cross_split_pairs(df, **how).select(F.lit(kind).alias("kind"), F.least("train_id", "eval_id").alias("id_1"), F.greatest("train_id", "eval_id").alias("id_2"))
+        for kind, (df, how) in _texts_by_split(spark, d).items()
+    ]
+    return parts[0].unionByName(parts[1]).distinct()
 
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -131,13 +130,11 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
         q.join(p.select("context_id", "source"), "context_id", "left")
         .select(F.lit("question").alias("kind"), F.col("id").alias("eval_id"), "split", "source")
     )
-    pairs = _context_pairs(spark, d).withColumn("kind", F.lit("context")).unionByName(
-        _question_pairs(spark, d).withColumn("kind", F.lit("question"))
-    )
+    parts = [pairs_per_record(df, **how).withColumn("kind", F.lit(kind)) for kind, (df, how) in _texts_by_split(spark, d).items()]
     return (
-        pairs.join(rows, ["kind", "eval_id"])
+        parts[0].unionByName(parts[1]).join(rows, ["kind", "eval_id"])
         .groupBy("kind", "split", F.coalesce("source", F.lit("")).alias("source"))
-        .agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_records"))
+        .agg(F.sum("n_pairs").alias("n_pairs"), F.count("*").alias("n_records"))
     )
 
 

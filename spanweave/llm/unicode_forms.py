@@ -1,8 +1,8 @@
 """One spelling for text that looks the same (problem 2).
 
 Method: for every letter run the sets of scripts its characters may belong to are intersected.
-An empty intersection marks a mixed-script run; the script all of whose letters can be spelled
-is chosen and the look-alikes are replaced. A run in one script whose letters all look like
+An empty intersection marks a mixed-script run; a script in which all its letters can be
+spelled is chosen and the look-alikes are replaced. A run in one script whose letters all look like
 another script's letters is a whole-script confusable, and is replaced only if that spelling is
 used elsewhere in the same text (so that real foreign words stay). Then the remaining forms are
 normalized: full-width forms, ligatures, blanks of other kinds, invisible characters, and
@@ -24,141 +24,142 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of one script that look like letters of another (Unicode confusables).
+# Letters of one script that look like letters of another (Unicode confusables):
+# Cyrillic and Greek, Armenian, Cherokee for Latin; Kannada for Telugu.
 LATIN_LOOKALIKES = dict(
     zip(
         "авеѕіјкмнорстухАВЕЅІЈКМНОРСТУХԁԛԝһёїαονιρυγΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
         "aвesijкмнopcтyxABESIJKMHOPCTYXdqwhëïaovipuyABEZHIKMNOPTYX",
     )
-)
+) | dict(zip("հոսցքօՍՕ", "hnugpoUO")) | dict(zip("ᎪᎬᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃᎠᏀᏒᏟᎻ", "AEJKLMPSTVWZDGRCH"))
 LATIN_LOOKALIKES = {k: v for k, v in LATIN_LOOKALIKES.items() if v.isascii() or v in "ëï"}
 TELUGU_LOOKALIKES = dict(zip("ಂಃಅಆಇಒಓಔಜಞಣಯರಱಲ೦೧೨೯", "ంఃఅఆఇఒఓఔజఞణయరఱల౦౧౨౯"))
 
 #: For each script that text is written in, the look-alikes from other scripts.
 PROTOTYPES = {"LATIN": LATIN_LOOKALIKES, "TELUGU": TELUGU_LOOKALIKES}
 
-# Spark prefilter, Java regex: anything that might not be in the usual spelling.
-SUSPECT = (
-    "[\\u00a0\\u00ad\\u034f\\u061c\\u115f\\u1160\\u1680\\u17b4\\u17b5\\u180e\\u2000-\\u200f\\u2011\\u202a-\\u202f"
-    "\\u205f-\\u206f\\u3000\\u3164\\ufb00-\\ufb06\\ufe00-\\ufe0f\\ufeff\\uff01-\\uff5e\\uffe0-\\uffe6\\u0300-\\u036f"
-    "\\u0c80-\\u0cff]|\\u0c46\\u0c56"
-    "|[A-Za-z\\u00c0-\\u024f][\\u0370-\\u03ff\\u0400-\\u052f]|[\\u0370-\\u03ff\\u0400-\\u052f][A-Za-z\\u00c0-\\u024f]"
-    "|[\\u0c00-\\u0c7f][\\u0370-\\u052f]|[\\u0370-\\u03ff][\\u0400-\\u052f]|[\\u0400-\\u052f][\\u0370-\\u03ff]"
-    "|(?<![\\p{L}\\p{M}])[" + "".join(sorted(LATIN_LOOKALIKES)) + "]{1,24}(?![\\p{L}\\p{M}])"
-    "|[\\ud835][\\udc00-\\udfff]"
-)
-
-# Everything outside these ranges makes a text worth the closer look of SUSPECT.
-UNUSUAL = (
-    "[^\\x00-\\x7f\\u00a1-\\u00ac\\u00ae-\\u024f\\u0900-\\u097f\\u0b80-\\u0bff\\u0c00-\\u0c55\\u0c57-\\u0c7f"
-    "\\u2012-\\u2027\\u2030-\\u205e\\u2070-\\u2fff]"
-)
+# Scripts that are written together; a letter of one may belong to the mixture.
+_TOGETHER = {
+    "CJK": ("CJK", "JAPANESE", "KOREAN", "BOPOMOFO"), "HIRAGANA": ("HIRAGANA", "JAPANESE"), "KATAKANA": ("KATAKANA", "JAPANESE"),
+    "HANGUL": ("HANGUL", "KOREAN"), "BOPOMOFO": ("BOPOMOFO",),
+}
 
 _RUN = re.compile(r"(?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏॢॣஂ-்ఀ-ఄ఼-ౖౢౣಁ-ಃ಼-ೖ])+")
 _INVISIBLE = re.compile("[\\u00ad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180e\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u206f\\u3164\\ufe00-\\ufe0f\\ufeff]")
 _BLANK = re.compile("[\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]")
-_COMPAT = re.compile("[\\uff01-\\uff5e\\uffe0-\\uffe6\\ufb00-\\ufb06\\U0001d400-\\U0001d7ff]+")
+_COMPAT = re.compile("[\uff01-\uff5e\uffe0-\uffe6\ufb00-\ufb06\u2160-\u217f\U0001d400-\U0001d7ff]+")
+# Every single character that some step may change, apart from composition.
+_KEYS = re.compile("[" + "".join(sorted({*LATIN_LOOKALIKES, *TELUGU_LOOKALIKES})) + "]")
+_TOUCHED = re.compile("|".join([_INVISIBLE.pattern, _BLANK.pattern, "\u2011", _COMPAT.pattern.rstrip("+"), _KEYS.pattern]))
 
 
 @lru_cache(maxsize=8192)
 def scripts_of(ch: str) -> frozenset[str]:
-    """Scripts that a letter may belong to; empty for characters common to all."""
+    """The set of scripts that a letter may belong to; empty for characters common to all."""
     if not ch.isalpha() and unicodedata.category(ch)[0] != "M":
         return frozenset()
     word = unicodedata.name(ch, "").split(" ")[0]
-    return frozenset() if word in ("COMBINING", "MODIFIER", "FEMININE", "MASCULINE", "") else frozenset((word,))
+    if word in ("COMBINING", "MODIFIER", "FEMININE", "MASCULINE", ""):
+        return frozenset()
+    return frozenset(_TOGETHER.get(word, (word,)))
+
+
+@lru_cache(maxsize=8192)
+def spellings_of(ch: str) -> frozenset[str]:
+    """The scripts in which something that looks like the letter can be written."""
+    return scripts_of(ch) | {s for s, table in PROTOTYPES.items() if ch in table}
+
+
+def _intersection(sets: list[frozenset[str]]) -> frozenset[str]:
+    return frozenset.intersection(*sets)
 
 
 @lru_cache(maxsize=65536)
-def resolve_run(run: str) -> tuple[str, bool]:
-    """The consistent spelling of a letter run, and whether the run is a whole-script confusable.
+def resolve_run(run: str) -> tuple[str, str]:
+    """The consistent spelling of a letter run, and the script it may be a whole-script confusable of.
 
-    Whole-script confusables come back unchanged, as only the text around them can decide.
+    Where the sets of the letters' scripts have an intersection, the run is consistent; it comes
+    back unchanged, as only the text around a whole-script confusable can decide. Where they
+    have none, the run mixes scripts, and of the scripts in which all its letters can be spelled
+    the one with most letters of its own is taken.
     """
-    shared: frozenset[str] | None = None
-    for ch in run:
-        own = scripts_of(ch)
-        if own:
-            shared = own if shared is None else shared & own
-    if shared is None:
-        return run, False
+    letters = [ch for ch in run if scripts_of(ch)]
+    if not letters:
+        return run, ""
+    shared = _intersection([scripts_of(ch) for ch in letters])
     if shared:
-        confusable = "LATIN" not in shared and all(ch in LATIN_LOOKALIKES for ch in run)
-        return run, confusable
-    best, most = None, 0
-    for script, table in PROTOTYPES.items():
-        native = 0
-        for ch in run:
-            own = scripts_of(ch)
-            if script in own:
-                native += 1
-            elif own and ch not in table:
-                break
-        else:
-            if native > most:
-                best, most = table, native
-    if best is None:
-        # No letter is native to a known script: all of them look Latin, from several scripts.
-        if all(ch in LATIN_LOOKALIKES for ch in run):
-            best = LATIN_LOOKALIKES
-        else:
-            return run, False
-    return "".join(best.get(ch, ch) for ch in run), False
+        return run, next((s for s, table in PROTOTYPES.items() if s not in shared and all(ch in table for ch in run)), "")
+    possible = _intersection([spellings_of(ch) for ch in letters])
+    found = [s for s in PROTOTYPES if s in possible]
+    if not found:
+        return run, ""
+    table = PROTOTYPES[max(found, key=lambda s: sum(s in scripts_of(ch) for ch in letters))]
+    return "".join(table.get(ch, ch) for ch in run), ""
 
 
 def canonical(text: str | None) -> str | None:
     """The usual spelling of ``text``."""
-    if not text:
+    if not text or text.isascii():
         return text
+    if _TOUCHED.search(text) is None and unicodedata.is_normalized("NFC", text):
+        return text  # no step below would change anything
     out = _INVISIBLE.sub("", text)
     out = _BLANK.sub(" ", out).replace("\u2011", "-")
     out = _COMPAT.sub(lambda m: unicodedata.normalize("NFKC", m.group(0)), out)
     out = unicodedata.normalize("NFC", out)
     if out.isascii():
         return out
-    whole: set[str] = set()
-
-    def consistent(m: re.Match) -> str:
-        run = m.group(0)
-        if run.isascii():
-            return run
+    # Only runs that hold a look-alike can change.
+    whole: dict[str, str] = {}
+    pieces, at = [], 0
+    for m in _KEYS.finditer(out):
+        first = m.start()
+        if first < at or not (r := _RUN.match(out, first)):
+            continue
+        end = r.end()
+        while first > at and _RUN.match(out[first - 1]):
+            first -= 1
+        run = out[first:end]
         new, confusable = resolve_run(run)
         if confusable:
-            whole.add(run)
-        return new
-
-    out = _RUN.sub(consistent, out)
+            whole[run] = confusable
+        pieces += (out[at:first], new)
+        at = end
+    out = "".join((*pieces, out[at:]))
     if whole:
         used = {m.group(0).casefold() for m in _RUN.finditer(out)}
-        for run in whole:
-            seems = "".join(LATIN_LOOKALIKES[ch] for ch in run)
+        for run, script in whole.items():
+            seems = "".join(PROTOTYPES[script][ch] for ch in run)
             if seems.casefold() in used or len(run) == 1 and seems in "aAI":
                 out = re.sub(rf"(?<![^\W\d_]){re.escape(run)}(?![^\W\d_])", seems, out)
     return unicodedata.normalize("NFC", out)
 
 
 @F.pandas_udf(T.StringType())
-def _canonical_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _respelled_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The usual spelling where it differs from the text, else null."""
     for s in batches:
-        yield s.map(lambda t: None if t is None else canonical(t), na_action="ignore").astype(object)
+        out = []
+        for t in s:
+            new = canonical(t)
+            out.append(None if new == t else new)
+        yield pd.Series(out, dtype=object)
 
 
-def is_suspect(text: Column) -> Column:
-    """Whether a text may hold another spelling (native; no false negatives)."""
-    return F.coalesce(text.rlike(UNUSUAL) & text.rlike(SUSPECT), F.lit(False))
+def respelled(text: Column) -> Column:
+    """The usual spelling where it differs, else null. Only texts that are not plain ASCII (their
+    bytes outnumber their characters) go to Python; no other text can have another spelling."""
+    return _respelled_udf(F.when(F.octet_length(text) > F.length(text), text))
 
 
 def canonical_column(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Add ``out``, the usual spelling of ``column``.
-
-    Only rows that the native prefilter suspects carry their text to Python; the others send a
-    null there and keep their own text.
-    """
+    """Add ``out``, the usual spelling of ``column``."""
     text = F.col(column)
-    return df.withColumn(out, F.coalesce(_canonical_udf(F.when(is_suspect(text), text)), text))
+    return df.withColumn(out, F.coalesce(respelled(text), text))
 
 
 def lookalike_rows(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """Rows whose ``column`` is not in the usual spelling: ``keys``, ``column`` and ``canonical``."""
-    hits = df.select(*keys, column).where(is_suspect(F.col(column)))
-    return hits.withColumn("canonical", _canonical_udf(F.col(column))).where(F.col("canonical") != F.col(column))
+    text = F.col(column)
+    hits = df.select(*keys, column).where(F.octet_length(text) > F.length(text))
+    return hits.withColumn("canonical", _respelled_udf(text)).where(F.col("canonical").isNotNull())
