@@ -3,8 +3,11 @@
 Method: conflict-constrained best fit. Items, largest first, go to the open bin with the least
 residual that still fits; bins are ordered by residual, and each carries a bitmap of the sources
 and one of the duplicate clusters it holds. An item conflicts with a bin that has its duplicate
-cluster, or ``per_source`` items of its source; the successor search then goes on to the next
-larger residual until the tightest compatible bin is found, else a new bin is opened. An item
+cluster, and with one that has ``per_source`` items of its source; the successor search goes on
+to the next larger residual until the tightest compatible bin is found. As unused space weighs
+more than variety, an item that conflicts by source with every bin that could hold it goes to
+the tightest of them; only a duplicate (or a lack of room) opens a new bin. Bins of one residual
+are kept by their source bitmap, so that those which conflict are passed over together. An item
 larger than the capacity is cut into full containers and a remainder, which is packed like
 any other item; no other item is split.
 
@@ -31,28 +34,39 @@ from .token_sizes import token_count
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int, per_source: int) -> list[int]:
     """The bin of each item; items must come in descending size."""
-    levels: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by residual
+    # Open bins by residual, and among those by the bitmap of the sources that are used up in them.
+    levels: dict[int, dict[int, list[int]]] = {}
     live: list[int] = []  # residuals that have bins, ascending
     held: list[list[int]] = []  # source bitmaps: one for each allowed repetition
     dup: list[int] = []
     out = []
-    for size, source, cluster in zip(sizes, sources, clusters):
-        s_bit, c_bit = 1 << source, 1 << cluster if cluster >= 0 else 0
-        chosen = -1
+
+    def take(size: int, s_bit: int, c_bit: int) -> tuple[int, int]:
         for at in range(bisect.bisect_left(live, size), len(live)):
             r = live[at]
-            for k, b in enumerate(levels[r]):
-                if not dup[b] & c_bit and not held[b][-1] & s_bit:
-                    chosen = b
-                    levels[r][k] = levels[r][-1]
-                    levels[r].pop()
-                    break
-            if chosen >= 0:
-                if not levels[r]:
-                    live.pop(at)
-                break
+            for used, bins in levels[r].items():
+                if used & s_bit:
+                    continue
+                for k in range(len(bins) - 1, -1, -1):
+                    b = bins[k]
+                    if not dup[b] & c_bit:
+                        bins[k] = bins[-1]
+                        bins.pop()
+                        if not bins:
+                            del levels[r][used]
+                            if not levels[r]:
+                                del levels[r]
+                                live.pop(at)
+                        return b, r
+        return -1, capacity
+
+    for size, source, cluster in zip(sizes, sources, clusters):
+        s_bit, c_bit = 1 << source, 1 << cluster if cluster >= 0 else 0
+        chosen, r = take(size, s_bit, c_bit)
+        if chosen < 0:
+            chosen, r = take(size, 0, c_bit)  # no bin without a conflict by source
         if chosen < 0:
-            chosen, r = len(held), capacity
+            chosen = len(held)
             held.append([0] * per_source)
             dup.append(0)
         dup[chosen] |= c_bit
@@ -62,9 +76,9 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
                 break
         r -= size
         if r > 0:
-            if not levels[r]:
+            if r not in levels:
                 bisect.insort(live, r)
-            levels[r].append(chosen)
+            levels.setdefault(r, {}).setdefault(held[chosen][-1], []).append(chosen)
         out.append(chosen)
     return out
 
@@ -95,7 +109,8 @@ def pack(
 ) -> DataFrame:
     """(id, piece_no, container, token_start, n_tokens, source): every text in containers.
 
-    ``per_source``: how many items of one source a container may hold. ``shard_containers``:
+    ``per_source``: how many items of one source a container holds before it counts as
+    conflicting. ``shard_containers``:
     about how many containers' worth of tokens a task packs.
     """
     flat = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\\s+", " ")))

@@ -1,9 +1,11 @@
 """Defective question and answer pairs (problem 6).
 
 Method: ordered rules over the pair, all native expressions: emptiness, refusal phrases in
-several languages, copied questions, abrupt endings (an unclosed bracket at the passage's cut
-or a word broken off), and script or language mismatch. Every rule that fires is emitted in
-``fired``; ``defect`` is the first of them, as an answer has one type.
+several languages, copied questions, abrupt endings (a word broken off, by the passage),
+unclosed delimiters, and script or language mismatch. Every rule that fires is emitted in
+``fired``; ``defect`` is the first of them, as an answer has one type. An unclosed delimiter
+alone is no ``defect``, as an answer may rightly be quoted up to a bracket: it fires as
+``unclosed`` only.
 
 Nulls count as empty text. A question without answer rows is defective only if it is not
 marked impossible; null flags are read as false. Repeated rows count once.
@@ -75,11 +77,40 @@ def copies_question(answer: Column, question: Column) -> Column:
     return (F.size(a) >= 2) & ((a == q) | ((F.size(q) >= 3) & (a == F.slice(q, 2, F.greatest(F.size(q) - 1, F.lit(1))))))
 
 
+_PAIRS = (("(", ")"), ("[", "]"), ("{", "}"), ("“", "”"), ("«", "»"))
+
+
+def is_unclosed(answer: Column) -> Column:
+    """More openers than closers of some bracket or quote, or an odd number of straight quotes."""
+    a = F.coalesce(answer, F.lit(""))
+
+    def count(sign: str) -> Column:
+        return F.length(a) - F.length(F.replace(a, F.lit(sign), F.lit("")))
+
+    out = count('"') % 2 == 1
+    for opener, closer in _PAIRS:
+        out = out | (count(opener) > count(closer))
+    return out
+
+
 def _share_words(words: Column, language: str) -> Column:
     table = F.array(*map(F.lit, FUNCTION_WORDS[language].split()))
     return F.size(F.filter(words, lambda w: F.array_contains(table, w)))
 
 
+_ROMANCE = ("es", "fr", "it", "pt")
+
+
+def foreign_words(words: Column) -> list[Column]:
+    return [_share_words(words, k) for k in _ROMANCE]
+
+
+def _romance(words: Column) -> Column:
+    """The one of these languages with most function words; ties by their order."""
+    counts = F.array(*foreign_words(words))
+    return F.element_at(F.array(*map(F.lit, _ROMANCE)), F.array_position(counts, F.array_max(counts)).cast("int"))
+
+
 def other_language(answer: Column, question: Column, context: Column) -> Column:
     """An answer in another script or language than the question, unless its passage has it so."""
     a, q = F.coalesce(answer, F.lit("")), F.coalesce(question, F.lit(""))
@@ -87,19 +118,20 @@ def other_language(answer: Column, question: Column, context: Column) -> Column:
     def has(t: Column, script: str) -> Column:
         return t.rlike("\\p{Is" + script + "}")
 
-    words = F.split(F.lower(a), "[^\\p{L}\\p{M}\\p{N}]+")
+    words, asked_words = (F.split(F.lower(t), "[^\\p{L}\\p{M}\\p{N}]+") for t in (a, q))
     asked = (
         F.when(has(q, "Telugu"), "te").when(has(q, "Devanagari"), "hi")
-        .when(F.lower(q).rlike(_GERMAN_QUESTION), "de").otherwise("en")
+        .when(F.lower(q).rlike(_GERMAN_QUESTION), "de")
+        .when(F.greatest(*foreign_words(asked_words)) > _share_words(asked_words, "en"), _romance(asked_words)).otherwise("en")
     )
     given = (
         F.when(has(a, "Telugu"), "te").when(has(a, "Devanagari"), "hi").when(has(a, "Tamil"), "ta")
         .when(has(a, "Kannada"), "kn").when(has(a, "Bengali"), "bn").when(has(a, "Malayalam"), "ml").when(has(a, "Arabic"), "ar")
     )
     en, de = _share_words(words, "en"), _share_words(words, "de")
-    foreign = F.greatest(*(_share_words(words, k) for k in ("es", "fr", "it", "pt")))
+    foreign = F.greatest(*foreign_words(words))
     latin = (
-        F.when((foreign > en) & (foreign > de), "xx").when(de > en, "de").when(en > 0, "en")
+        F.when((foreign > en) & (foreign > de), _romance(words)).when(de > en, "de").when(en > 0, "en")
         .when(F.size(F.filter(words, lambda w: F.length(w) > 1)) >= 2, "?")
     )
     language = F.coalesce(given, F.when(has(a, "Latin"), latin))
@@ -108,9 +140,9 @@ def other_language(answer: Column, question: Column, context: Column) -> Column:
 
 
 def defects(pairs: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qa_id, defect, fired) for every defective answer and for unanswered questions.
+    """(qa_id, answer_id, defect, fired) for every defective answer and for unanswered questions.
 
-    ``pairs``: qa_id, usual (answer), answer_start, question, is_impossible, context.
+    ``pairs``: answer_id, qa_id, usual (answer), answer_start, question, is_impossible, context.
     ``questions``: qa_id, is_impossible for every question.
     """
     a, q = F.col("usual"), F.col("question")
@@ -121,13 +153,14 @@ def defects(pairs: DataFrame, questions: DataFrame) -> DataFrame:
         ("truncated", stops_inside_word(a, F.col("context"), F.col("answer_start")) & ~is_empty(a)),
         ("other_language", other_language(a, q, F.col("context")) & ~is_empty(a)),
     ]
+    rules.append(("unclosed", is_unclosed(a)))
     fired = F.filter(F.array(*(F.when(rule, name) for name, rule in rules)), lambda x: x.isNotNull())
     answered = (
-        pairs.select("qa_id", fired.alias("fired")).where(F.size("fired") > 0)
-        .select("qa_id", F.col("fired")[0].alias("defect"), "fired")
+        pairs.select("qa_id", "answer_id", fired.alias("fired")).where(F.size("fired") > 0)
+        .select("qa_id", "answer_id", F.nullif(F.get("fired", F.lit(0)), F.lit("unclosed")).alias("defect"), "fired")
     )
     bare = (
         questions.where(~F.col("is_impossible")).join(pairs.select("qa_id"), "qa_id", "left_anti")
-        .select("qa_id", F.lit("empty").alias("defect"), F.array(F.lit("empty")).alias("fired"))
+        .select("qa_id", F.lit(None).cast("long").alias("answer_id"), F.lit("empty").alias("defect"), F.array(F.lit("empty")).alias("fired"))
     )
     return answered.unionByName(bare)

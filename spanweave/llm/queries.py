@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
+from ..session import materialize, read_table
 from . import pair_defects, truncation
 from .chunks import split_texts
 from .cross_split import cross_split_pairs, pairs_per_record
@@ -63,17 +63,19 @@ def _cut_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged_answers(spark: SparkSession, d: str) -> DataFrame:
-    cut = truncation.stops_inside_word(F.col("usual"), F.col("context"), F.col("answer_start"))
-    return answers_in_context(spark, d).select(F.col("answer_id").cast("string").alias("row_id"), "source", cut.alias("cut"))
-
-
-def _cut_answers(spark: SparkSession, d: str) -> DataFrame:
-    return _judged_answers(spark, d).where("cut").select("row_id", "source")
+    """(row_id, source, open, chars, bytes, inside, partial) of every answer."""
+    a = truncation.with_lengths(answers_in_context(spark, d), "text")
+    usual, context = F.col("usual"), F.col("context")
+    return materialize(a.select(
+        F.col("answer_id").cast("string").alias("row_id"), "source", "open", "chars", "bytes",
+        truncation.stops_inside_word(usual, context, F.col("answer_start")).alias("inside"),
+        truncation.last_word_is_part(usual, context).alias("partial"),
+    ), "judged")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _cut_contexts(spark, d).select(F.lit("paragraphs").alias("tab"), "row_id").unionByName(
-        _cut_answers(spark, d).select(F.lit("answers").alias("tab"), "row_id")
+        truncation.cut_answers(_judged_answers(spark, d)).select(F.lit("answers").alias("tab"), "row_id")
     )
 
 
@@ -83,22 +85,34 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     An answer has the source of its paragraph.
     """
     source = F.coalesce("source", F.lit("")).alias("source")
-    p = read_table(spark, d, "paragraphs", "context_id", "source").dropDuplicates(["context_id"])
-    n = p.groupBy(source).agg(F.count("*").alias("n_texts"))
-    cut = _cut_contexts(spark, d).groupBy("source").agg(F.count("*").alias("n_cut"))
-    shown = n.join(cut, "source", "left").select("source", F.lit("paragraphs").alias("tab"), "n_texts", F.coalesce("n_cut", F.lit(0)).alias("n_cut"))
-    given = (
-        _judged_answers(spark, d).groupBy(source).agg(F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"))
-        .select("source", F.lit("answers").alias("tab"), "n_texts", "n_cut")
-    )
-    return shown.unionByName(given).withColumn("cut_share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
+    judged = _judged_answers(spark, d)
+    sides = {
+        "paragraphs": (read_table(spark, d, "paragraphs", "context_id", "source").dropDuplicates(["context_id"]), _cut_contexts(spark, d)),
+        "answers": (judged, truncation.cut_answers(judged)),
+    }
+    parts = [
+        all_.groupBy(source).agg(F.count("*").alias("n_texts"))
+        .join(cut.groupBy(source).agg(F.count("*").alias("n_cut")), "source", "left")
+        .select("source", F.lit(tab).alias("tab"), "n_texts", F.coalesce("n_cut", F.lit(0)).alias("n_cut"))
+        for tab, (all_, cut) in sides.items()
+    ]
+    return parts[0].unionByName(parts[1]).withColumn("cut_share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+def _defects(spark: SparkSession, d: str) -> DataFrame:
     q = read_table(spark, d, "qas", "id", "is_impossible").select(
         F.col("id").alias("qa_id"), F.coalesce("is_impossible", F.lit(False)).alias("is_impossible")
     ).dropDuplicates(["qa_id"])
-    return pair_defects.defects(answers_in_context(spark, d), q).select("qa_id", "defect").distinct()
+    return pair_defects.defects(answers_in_context(spark, d), q)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).where("defect is not null").select("qa_id", "defect").distinct()
+
+
+def p6_fired(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule that fires, per defective answer (null answer_id: the question has no answer)."""
+    return _defects(spark, d).select("qa_id", "answer_id", F.explode("fired").alias("fired"))
 
 
 def _texts_by_split(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, dict]]:

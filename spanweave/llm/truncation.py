@@ -5,13 +5,16 @@ for spikes at the maximum. A text without terminal punctuation whose length is s
 flagged. Cuts in transfer leave no spike; for them the ending itself is judged: what a cut
 leaves behind (part of an escape, a replacement character), or an ending that, by counts over
 the whole corpus, does not end sentences. The same counts keep finished sentences that only
-lack their stop from being flagged.
+lack their stop from being flagged. Answers, which rarely end with punctuation, are looked up
+in their passage: one at a spike length is cut if its last word is a part of a passage's word,
+any other only if the whole answer stops inside a word there.
 
 Nulls and blank texts are never flagged. Ties have no effect, as nothing is ordered.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,21 +36,37 @@ def ends_open(text: Column) -> Column:
     return F.coalesce(text.rlike("\\S") & (cut | ~text.rlike(_STOPPED)), F.lit(False))
 
 
-def length_profile(df: DataFrame, text: str, source: str = "source") -> DataFrame:
-    """Histogram per source and unit: how many texts have each length, and how many of them end open."""
-    open_ = ends_open(F.col(text)).cast("int")
-    units = F.explode(F.array(
-        F.struct(F.lit("chars").alias("unit"), F.length(text).alias("length")),
-        F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("length")),
-    ))
+_UNITS = ("chars", "bytes")
+
+
+def with_lengths(df: DataFrame, text: str) -> DataFrame:
+    """Add ``open`` (see ``ends_open``), ``chars`` and ``bytes`` of a text column."""
+    t = F.col(text)
+    return df.withColumns({"open": ends_open(t), "chars": F.length(t), "bytes": F.octet_length(t)})
+
+
+def length_profile(df: DataFrame) -> DataFrame:
+    """Histogram per source and unit of (source, open, chars, bytes): how many texts have each
+    length, and how many of them end open."""
+    units = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in _UNITS)))
     return (
-        df.where(F.col(text).isNotNull())
-        .select(F.coalesce(source, F.lit("")).alias("source"), open_.alias("open"), units.alias("u"))
+        df.where(F.col("chars").isNotNull())
+        .select(F.coalesce("source", F.lit("")).alias("source"), F.col("open").cast("int").alias("open"), units.alias("u"))
         .groupBy("source", "u.unit", "u.length")
         .agg(F.count("*").alias("n"), F.sum("open").alias("n_open"))
     )
 
 
+def at_spike(df: DataFrame, spikes: DataFrame) -> DataFrame:
+    """(row_id, spike = true) for the open rows of (row_id, source, open, chars, bytes) at a spike length."""
+    units = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in _UNITS)))
+    return (
+        df.where("open").select("row_id", F.coalesce("source", F.lit("")).alias("source"), units.alias("u"))
+        .select("row_id", "source", "u.unit", "u.length").join(spikes, ["source", "unit", "length"], "left_semi")
+        .select("row_id", F.lit(True).alias("spike")).distinct()
+    )
+
+
 def length_spikes(profile: DataFrame, least: int = 4, share: float = 0.05, times: float = 6.0) -> DataFrame:
     """Lengths at which open texts pile up at a maximum: (source, unit, length, n_open).
 
@@ -69,6 +88,8 @@ def length_spikes(profile: DataFrame, least: int = 4, share: float = 0.05, times
     )
 
 
+#: Weight of the less specific ending's share.
+_DRAWN = 2.0
 _STRIP = " \t\r\n\"“”‘’'()[]{}«»•*-–—_"
 _TE = re.compile("[\\u0c00-\\u0c7f\\u0900-\\u097f]")
 
@@ -81,10 +102,15 @@ def word_class(token: str) -> str:
     comma = "," if token[-1:] in ",;:" else ""
     if w[0].isdigit():
         tail = w.lstrip("0123456789౦౧౨౩౪౫౬౭౮౯")
-        return "#" + tail[:12] + comma
+        return "#" + _named(tail) + comma
     if w[0].isupper():
         return "N" + comma
-    return (w if len(w) <= 24 else w[:24] + "~") + comma
+    return _named(w) + comma
+
+
+def _named(w: str) -> str:
+    """The word itself; a very long one by its hash."""
+    return w if len(w) <= 24 else "~" + hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _ending_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +181,7 @@ def judge_ending(text: str) -> tuple[str, list[str]]:
         return "cut", []
     if text.rstrip(" ")[-1:] in (",", ";", ":", "(", "-", "–"):
         return "cut", []
-    tokens = [t for t in re.split(r"[\s_]+", text[-400:]) if t]
+    tokens = [t for t in re.split(r"[\s_]+", text) if t]
     if not tokens:
         return "look", []
     last = tokens[-1]
@@ -194,31 +220,18 @@ def cut_texts(df: DataFrame, row_id: str, text: str, source: str = "source", cou
     base = df.select(
         F.col(row_id).cast("string").alias("row_id"), F.col(text).alias("text"), F.coalesce(source, F.lit("")).alias("source")
     )
-    open_rows = materialize(
-        base.where(ends_open(F.col("text"))).withColumns({"chars": F.length("text"), "bytes": F.octet_length("text")}), "open"
-    )
-    spikes = length_spikes(length_profile(base, "text"))
-    at_limit = (
-        open_rows.select("row_id", "source", F.explode(F.array(
-            F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")),
-            F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")),
-        )).alias("u"))
-        .select("row_id", "source", "u.unit", "u.length")
-        .join(spikes, ["source", "unit", "length"], "left_semi")
-        .select("row_id", F.lit(True).alias("spike")).distinct()
-    )
+    measured = with_lengths(base, "text")
+    open_rows = materialize(measured.where("open"), "open")
+    spikes = length_spikes(length_profile(measured))
+    at_limit = at_spike(open_rows, spikes)
     endings = open_rows.select("row_id", "text").mapInPandas(_open_endings, "row_id string, verdict string, rank int, gram string")
     endings = materialize(endings, "endings")
     needed = endings.where("gram is not null").select("gram").distinct()
-    counts = ending_counts(base if counts_from is None else counts_from, "text").where("total >= 4").join(needed, "gram", "left_semi")
-    looked = (
-        endings.join(counts, "gram", "left")
-        .groupBy("row_id")
-        .agg(
-            F.first("verdict").alias("verdict"),
-            F.min_by(F.col("final") / F.col("total"), F.when(F.col("total").isNotNull(), F.col("rank"))).alias("p"),
-        )
-    )
+    counts = ending_counts(base if counts_from is None else counts_from, "text").join(needed, "gram", "left_semi")
+    # From the least to the most specific ending: each share is drawn to the one before it.
+    seen = F.reverse(F.array_sort(F.collect_list(F.when(F.col("total").isNotNull(), F.struct("rank", "total", "final")))))
+    share = F.aggregate(seen, F.lit(0.0), lambda p, x: (x["final"] + _DRAWN * p) / (x["total"] + _DRAWN))
+    looked = endings.join(counts, "gram", "left").groupBy("row_id").agg(F.first("verdict").alias("verdict"), share.alias("p"))
     return (
         open_rows.select("row_id", "source").join(looked, "row_id").join(at_limit, "row_id", "left")
         .withColumn("reason", F.when(F.col("verdict") == "cut", "mark")
@@ -228,6 +241,20 @@ def cut_texts(df: DataFrame, row_id: str, text: str, source: str = "source", cou
     )
 
 
+def cut_answers(judged: DataFrame) -> DataFrame:
+    """Cut rows of (row_id, source, open, chars, bytes, inside, partial): (row_id, source, reason).
+
+    ``inside``: the answer stops inside a word of its passage; ``partial``: it does not stand
+    there, but its last word is only a part of a word there. reason is ``spike`` or ``passage``.
+    """
+    limited = at_spike(judged, length_spikes(length_profile(judged)))
+    return (
+        judged.where("inside or partial").join(limited, "row_id", "left")
+        .withColumn("reason", F.when(F.col("spike"), "spike").when(F.col("inside"), "passage"))
+        .where("reason is not null").select("row_id", "source", "reason")
+    )
+
+
 def stops_inside_word(answer: Column, context: Column, start: Column) -> Column:
     """Whether ``answer`` ends inside a word of ``context``.
 
@@ -244,3 +271,12 @@ def stops_inside_word(answer: Column, context: Column, start: Column) -> Column:
         .otherwise(F.lit(False))
     )
     return F.coalesce((F.length(F.trim(bare)) > 0) & bare.rlike(_WORD_CHAR + "$") & inside, F.lit(False))
+
+
+def last_word_is_part(answer: Column, context: Column) -> Column:
+    """Whether an answer that does not stand in ``context`` ends in a word that only begins one there."""
+    bare = F.regexp_replace(answer, CUT_MARKS, "")
+    word = F.regexp_extract(bare, "(" + _WORD_CHAR + "+)$", 1)
+    begins, whole = (F.concat(F.lit("(?<!" + _WORD_CHAR + ")\\Q"), word, F.lit("\\E" + end)) for end in (_WORD_CHAR, "(?!" + _WORD_CHAR + ")"))
+    asked = (F.length(word) > 0) & ~F.contains(context, bare) & F.contains(context, word)
+    return F.coalesce(F.when(asked, F.regexp_like(context, begins) & ~F.regexp_like(context, whole)), F.lit(False))
