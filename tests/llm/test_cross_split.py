@@ -66,3 +66,23 @@ def test_counts_have_both_kinds(spark, tmp_path):
     )
     rows = {(r["kind"], r["split"], r["source"]): (r["n_pairs"], r["n_records"]) for r in queries.p7_counts(spark, d).collect()}
     assert rows == {("context", "test", ""): (1, 1), ("question", "test", "app"): (1, 1), ("question", "validation", ""): (1, 1)}
+
+
+def test_hot_buckets_and_copies(spark, tmp_path, monkeypatch):
+    """A template of a third of all rows and a large class of copies, with buckets cut into parts."""
+    from spanweave.llm import cross_split
+
+    monkeypatch.setattr(cross_split, "HOT_ROWS", 5)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"a{i:03}", split_of(i), "what is the name of this one thing here") for i in range(40)]
+    rows += [(f"b{i:03}", split_of(i), " ".join(rng.choices(words, k=8))) for i in range(80)]
+    rows += [(f"c{i:03}", split_of(i), f"what is the name of this one thing number {i % 5}") for i in range(40)]
+    rows += [("n1", "train", None), ("n2", "test", ""), ("n3", None, "what is the name")]
+    df = spark.createDataFrame(rows, "id string, split string, text string")
+    found = {(r["train_id"], r["eval_id"]) for r in cross_split.cross_split_pairs(df, width=1, similarity=0.85, agree=2).collect()}
+    sets = [(k, s, set(t.split())) for k, s, t in rows if t]
+    expected = {(a, b) for a, x, u in sets for b, y, v in sets if x == "train" and y not in ("train", None) and len(u & v) >= 0.85 * len(u | v)}
+    assert found == expected and len(expected) > 300
+    counts = {r["eval_id"]: r["n_pairs"] for r in cross_split.pairs_per_record(df, width=1, similarity=0.85, agree=2).collect()}
+    assert sum(counts.values()) == len(expected)
