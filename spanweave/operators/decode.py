@@ -60,3 +60,16 @@ def span_text(context: Column, offsets: Column, span: Column) -> Column:
     a = F.get(offsets, span["s"])
     b = F.get(offsets, F.least(span["e"], F.size(offsets) - 1))
     return F.coalesce(F.substring(context, a["s"] + 1, b["e"] - a["s"]), F.lit(""))
+
+
+# Fixed value: what serving answers where there is no answer.
+NO_ANSWER = "No answer found in the given context."
+
+
+def serving_answer(context: Column, offsets: Column, start: Column, end: Column, mask: Column | None = None) -> Column:
+    """The online decoder's text: fixed text where the first token wins on both sides, and also
+    where the span begins or ends at offset 0 (so an answer at the very start is not given)."""
+    span = serving_span(start, end, mask)
+    a, b = F.get(offsets, span["s"])["s"], F.get(offsets, span["e"])["e"]
+    none = ((span["s"] == 0) & (span["e"] == 0)) | (F.coalesce(a, F.lit(0)) == 0) | (F.coalesce(b, F.lit(0)) == 0)
+    return F.when(none, NO_ANSWER).otherwise(F.substring(context, a + 1, F.greatest(b - a, F.lit(0))))

@@ -1,11 +1,15 @@
-"""Scores of predicted answers: all native column expressions and aggregates."""
+"""Scores of predicted answers: native column expressions and aggregates; n-gram counters and
+subsequences, which native expressions can only do in quadratic time, in Arrow batches."""
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -25,19 +29,25 @@ def f1(pred: Column, gold: Column, normalize=tx.normalize_script) -> Column:
     )
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Array of n-grams, joined by blanks."""
-    last = F.size(tokens) - n
-    places = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+def clipped_hits(pred: list, gold: list, n: int) -> int:
+    """N-grams of ``pred`` that ``gold`` has too, each counted at most as often as there."""
+    if n == 1:
+        a, b = Counter(pred), Counter(gold)
+    else:
+        a, b = (Counter(zip(*(t[k:] for k in range(n)))) for t in (pred, gold))
+    return sum(min(c, b[g]) for g, c in a.items() if g in b)
 
 
-def clipped(pred: Column, gold: Column) -> Column:
-    """Matches of two n-gram arrays, each counted at most as often as the gold has it."""
-    def count(a: Column, x: Column) -> Column:
-        return F.size(F.filter(a, lambda y: y == x))
+def clipped(pred: Column, gold: Column, orders: int) -> Column:
+    """Array of the clipped n-gram hits of two token arrays for the orders 1 to ``orders``.
 
-    return F.aggregate(F.array_distinct(pred), F.lit(0), lambda s, g: s + F.least(count(pred, g), count(gold, g)))
+    Hash counters in Arrow batches: linear in the tokens. Distinct pairs of a batch count once.
+    """
+    @F.pandas_udf("array<int>")
+    def count(p: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else [clipped_hits(list(x), list(y), n) for n in range(1, orders + 1)] for x, y in zip(p, g)], dtype=object)
+
+    return count(pred, gold)
 
 
 # Weights of the BLEU orders.
@@ -47,10 +57,10 @@ BLEU_WEIGHTS = {1: [1.0], 2: [0.5, 0.5], 3: [0.33, 0.33, 0.34], 4: [0.25] * 4}
 def bleu_parts(pred: Column, gold: Column, orders: int) -> dict[str, Column]:
     """Clipped and total counts per order, and both lengths; sums of these give corpus BLEU."""
     p, g = tx.tokens(pred), tx.tokens(gold)
+    hits = clipped(p, g, orders)
     out = {"pred_len": F.size(p), "gold_len": F.size(g)}
     for n in range(1, orders + 1):
-        pn, gn = ngrams(p, n), ngrams(g, n)
-        out[f"hit{n}"], out[f"all{n}"] = clipped(pn, gn), F.greatest(F.size(p) - n + 1, F.lit(0))
+        out[f"hit{n}"], out[f"all{n}"] = hits[n - 1], F.greatest(F.size(p) - n + 1, F.lit(0))
     return out
 
 
@@ -67,40 +77,53 @@ def bleu_from(parts: dict[str, Column], order: int, smooth: bool = True) -> Colu
     return F.when(zero | (parts["pred_len"] == 0) | (parts["gold_len"] == 0), 0.0).otherwise(F.exp(short + reduce(lambda a, b: a + b, logs)))
 
 
-def token_lcs(a: Column, b: Column) -> Column:
-    """Longest common subsequence of two token arrays, by rows of the usual table."""
-    zero = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
+def lcs_of_lists(a: list, b: list) -> int:
+    """Longest common subsequence by bit-parallel rows."""
+    masks: dict = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        hit = row & masks.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
-    def next_row(row: Column, x: Column) -> Column:
-        # Append cell after cell: the cell above-left, above, and left.
-        return F.aggregate(
-            F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), F.array(F.lit(0)),
-            lambda out, j: F.concat(out, F.array(
-                F.when(F.get(b, j - 1) == x, F.get(row, j - 1) + 1).otherwise(F.greatest(F.get(row, j), F.get(out, j - 1)))
-            )),
-        )
 
-    last = F.aggregate(a, zero, next_row)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.get(last, F.size(b)))
+@F.pandas_udf(T.IntegerType())
+def token_lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Longest common subsequence of two token arrays."""
+    return pd.Series([None if x is None or y is None else lcs_of_lists(list(x), list(y)) for x, y in zip(a, b)], dtype="Int32")
 
 
-def rouge_tokens(x: Column, unicode: bool = False) -> Column:
-    """Lower-cased runs of ASCII letters and digits, or of all letters, marks and digits."""
+def rouge_tokens(x: Column, unicode: bool = False, stem: bool = False) -> Column:
+    """Lower-cased runs of ASCII letters and digits, or of all letters, marks and digits; with
+    ``stem`` words of more than three characters are reduced to their stem."""
     gap = r"[^\p{L}\p{M}\p{N}]+" if unicode else "[^a-z0-9]+"
-    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), gap), lambda t: t != "")
+    tokens = F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), gap), lambda t: t != "")
+    return _stemmed(tokens) if stem else tokens
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stemmed(tokens: pd.Series) -> pd.Series:
+    from ..functions.stemmer import stem
+
+    return pd.Series([None if t is None else [stem(w) if len(w) > 3 else w for w in t] for t in tokens], dtype=object)
 
 
 def _f_measure(hit: Column, p: Column, g: Column) -> Column:
     return F.when((hit == 0) | (p <= 0) | (g <= 0), 0.0).otherwise(2.0 * hit / (p + g))
 
 
-def rouge_n(pred: Column, gold: Column, n: int, unicode: bool = False) -> Column:
-    p, g = rouge_tokens(pred, unicode), rouge_tokens(gold, unicode)
-    return _f_measure(clipped(ngrams(p, n), ngrams(g, n)), F.size(p) - n + 1, F.size(g) - n + 1)
+def rouge_n(pred: Column, gold: Column, orders: int = 2, unicode: bool = False, stem: bool = False) -> list[Column]:
+    """F-measures of the n-gram overlaps for the orders 1 to ``orders``."""
+    p, g = rouge_tokens(pred, unicode, stem), rouge_tokens(gold, unicode, stem)
+    hits = clipped(p, g, orders)
+    return [_f_measure(hits[n - 1], F.size(p) - n + 1, F.size(g) - n + 1) for n in range(1, orders + 1)]
 
 
-def rouge_l(pred: Column, gold: Column, unicode: bool = False) -> Column:
-    p, g = rouge_tokens(pred, unicode), rouge_tokens(gold, unicode)
+def rouge_l(pred: Column, gold: Column, unicode: bool = False, stem: bool = False) -> Column:
+    p, g = rouge_tokens(pred, unicode, stem), rouge_tokens(gold, unicode, stem)
     return _f_measure(token_lcs(p, g), F.size(p), F.size(g))
 
 
@@ -151,3 +174,8 @@ def histogram(df: DataFrame, value: str, low: int = 0, high: int = 28, step: int
     inside = df.where((v >= low) & (v <= high))
     bin_ = F.least(F.floor((v - low) / step), F.lit((high - low) // step - 1))
     return inside.groupBy((bin_ * step + low).cast("long").alias("bin_start")).agg(F.count("*").alias("n"))
+
+
+def complete(examples: DataFrame, predictions: DataFrame, key: str = "id", pred: str = "pred") -> DataFrame:
+    """``examples`` with their predictions; missing and null ones are empty, others are dropped."""
+    return examples.join(predictions.select(key, pred), key, "left").withColumn(pred, F.coalesce(pred, F.lit("")))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions.lexicon import Lexicon
@@ -32,6 +33,17 @@ def exact_verdict(context: Column, answer: Column, start: Column) -> Column:
     )
 
 
+def diagnosed(df: DataFrame, context: str, answer: str, start: str, margin: int = 50) -> DataFrame:
+    """Add verdict, snippet and, unless the verdict is ok, the places of the answer (n_places,
+    places joined by commas; null where there are none). Filter by id for a single question."""
+    c, a, s = F.col(context), F.col(answer), F.col(start)
+    out = df.withColumn("verdict", exact_verdict(c, a, s))
+    places = F.when(F.col("verdict") != "ok", tx.find_all(c, a)).otherwise(F.array().cast("array<int>"))
+    out = out.withColumn("_places", places).withColumn("n_places", F.size("_places").cast("long"))
+    joined = F.array_join(F.transform("_places", lambda x: x.cast("string")), ",")
+    return out.withColumns({"snippet": tx.snippet(c, s, F.length(a), margin), "places": F.nullif(joined, F.lit(""))}).drop("_places")
+
+
 @F.pandas_udf(T.DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else sequence_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -64,8 +76,8 @@ def question_verdicts(answers: DataFrame) -> DataFrame:
 class WindowSearch:
     """Best window of a context for an answer, by spelling, tokens and meaning."""
 
-    def __init__(self, lexicon: Lexicon | None = None, extra_words: int = 3, bonus: float = 20.0, partial: float = 0.8):
-        self.lexicon = lexicon or Lexicon()
+    def __init__(self, lexicon: Lexicon | None = None, extra_words: int = 3, bonus: float = 20.0, partial: float = 0.8, low: int = 0x0C00):
+        self.lexicon, self.low = lexicon or Lexicon(), low
         self.extra_words, self.bonus, self.partial = extra_words, bonus, partial
 
     def meaning(self, window: list[str], answer: list[str]) -> float:
@@ -109,18 +121,33 @@ class WindowSearch:
         place = self.place(" ".join(words), window, starts[i])
         return place, place + len(window), window, score
 
+    def at_boundary(self, text: str, i: int) -> bool:
+        """At the ends, or where this or the previous character lies below the script block."""
+        return i <= 0 or i >= len(text) or ord(text[i]) < self.low or ord(text[i - 1]) < self.low
+
     def place(self, context: str, window: str, about: int) -> int:
-        """Exact place of ``window`` near ``about``; the first best one, else ``about``."""
-        reach = 2 * len(window)
-        lo, hi = max(0, about - reach), min(len(context), about + reach)
-        exact = context.find(window, lo, hi + len(window))
-        if exact >= 0:
-            return exact
+        """Exact place of ``window`` near ``about``: the first exact one at a character boundary,
+        else the best similar one (the first of equals), else ``about``.
+
+        Looked at are two window lengths on both sides, widened to boundaries.
+        """
+        lo, hi = max(0, about - 2 * len(window)), min(len(context), about + 2 * len(window))
+        while not self.at_boundary(context, lo):
+            lo -= 1
+        while not self.at_boundary(context, hi):
+            hi += 1
+        part = context[lo:hi]
+        at = part.find(window)
+        while at >= 0:
+            if self.at_boundary(part, at):
+                return lo + at
+            at = part.find(window, at + 1)
         best, where = 0.0, about
-        for p in range(lo, max(lo, hi - len(window)) + 1):
-            r = indel_ratio(context[p : p + len(window)], window)
-            if r >= self.partial and r > best:
-                best, where = r, p
+        for p in range(len(part)):
+            if self.at_boundary(part, p):
+                r = indel_ratio(part[p : p + len(window)], window)
+                if r >= self.partial and r > best:
+                    best, where = r, lo + p
         return where
 
     def realign(self, context: str, answer: str, compat: bool = False) -> tuple[int, str, float]:
@@ -158,8 +185,57 @@ def realigned(df: DataFrame, context: str, answer: str, low: float = 45.0, compa
     return out.select(*df.columns, "_r.new_start", "_r.new_text", F.round("_r.score", 6).alias("score"), (F.col("_r.score") < low).alias("low"))
 
 
+ANSWER = "struct<text:string,answer_start:int>"
+
+
+def adjust_dataset(flat: DataFrame, low: float = 45.0, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A flat data set with every answer placed again, and the answers of low similarity.
+
+    ``flat``: article_idx, para_idx, qa_idx, title, context_id, context, id, question,
+    is_impossible, answers, plausible_answers (see ``sources.squad.flatten``). Answerable
+    questions keep adjusted ``answers``; impossible ones get none, and adjusted
+    ``plausible_answers``. The text is always overwritten by what stands at the new place.
+
+    The search runs once for each different pair of context and answer of a question's side.
+    Low cases: title, context, question, id, is_impossible, answer, found_text, similarity_score.
+    """
+    none = F.array().cast(f"array<{ANSWER}>")
+    sought = F.when(F.col("is_impossible"), F.coalesce("plausible_answers", none)).otherwise(F.coalesce("answers", none))
+    key = ["article_idx", "para_idx", "qa_idx"]
+    each = flat.select(*key, "title", "context", "question", "id", "is_impossible", F.posexplode(sought).alias("at", "answer"))
+    placed = realigned(each.withColumn("_text", F.coalesce("answer.text", F.lit(""))), "context", "_text", low, compat)
+    new = F.struct(F.col("new_text").alias("text"), F.col("new_start").alias("answer_start"))
+    per = placed.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", new.alias("a")))), lambda x: x["a"]).alias("_new"))
+    found = F.coalesce("_new", none)
+    adjusted = flat.join(per, key, "left").select(
+        *(c for c in flat.columns if c not in ("answers", "plausible_answers")),
+        F.when(F.col("is_impossible"), none).otherwise(found).alias("answers"),
+        F.when(F.col("is_impossible"), found).otherwise(none).alias("plausible_answers"),
+    )
+    lows = placed.where("low").select(
+        "title", "context", "question", "id", "is_impossible", "answer", F.col("new_text").alias("found_text"), F.col("score").alias("similarity_score"), *key, "at"
+    )
+    return adjusted, lows
+
+
+def low_report(lows: DataFrame, part: int = 1000) -> DataFrame:
+    """The low cases in nested form, (title, part, paragraphs): one entry a case, articles of one
+    title together. A title with many cases gets several rows of ``part`` cases at most."""
+    q = F.struct("question", "id", F.when(~F.col("is_impossible"), F.array("answer")).alias("answers"),
+                 F.when(F.col("is_impossible"), F.array("answer")).alias("plausible_answers"), "found_text", "similarity_score")
+    entry = F.struct("context", F.array(q).alias("qas"))
+    order = Window.partitionBy("title", F.col("article_idx"), F.floor(F.col("para_idx") / 100)).orderBy("para_idx", "qa_idx", "at")
+    numbered = lows.withColumn("part", F.concat_ws("-", "article_idx", F.floor(F.col("para_idx") / 100), F.floor((F.row_number().over(order) - 1) / part)))
+    item = F.struct("article_idx", "para_idx", "qa_idx", "at", entry.alias("e"))
+    return numbered.groupBy("title", "part").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["e"]).alias("paragraphs"))
+
+
 def by_occurrence(source_text: Column, source_answer: Column, source_start: Column, text: Column, answer: Column) -> Column:
-    """The start in ``text`` of the occurrence with the rank that the source's start has."""
+    """The start in ``text`` of the occurrence of ``answer`` that has the rank which the source's
+    start has among the occurrences of ``source_answer``; the last one where there are fewer.
+
+    The source's answer and its translation are different strings, each sought in its own text.
+    """
     rank = F.size(F.filter(tx.find_all(source_text, source_answer), lambda p: p < source_start))
     places = tx.find_all(text, answer)
     return F.coalesce(F.get(places, rank), F.get(places, F.size(places) - 1))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.lexicon import Lexicon
 from ..functions.similarity import indel_ratio, sequence_ratio, token_similarity
-from ..operators import decode, features
+from ..operators import decode, features, serving
 from ..session import read_table
 from . import base as b
 from .base import sql
@@ -61,19 +61,25 @@ def decode_argmax_strict(spark, d):
     return _decoded(_logits(spark, d), decode.argmax_span(F.col("st"), F.col("en")))
 
 
-@query("decode_serving", f"WITH {_LG}, x AS (SELECT *, {_S} AS s0, greatest({_S}, {_E}) AS e0 FROM lg) {_sq_text('s0', 'e0')} FROM x")
+_SERVED = """sv AS (SELECT vec_id, context, list_transform(range(1, 33), lambda i: CASE WHEN (vec_id + i) % 5 > 0 THEN CAST(st[i] AS DOUBLE) ELSE -1e300 END) AS st,
+list_transform(range(1, 33), lambda i: CASE WHEN (vec_id + i) % 5 > 0 THEN CAST(en[i] AS DOUBLE) ELSE -1e300 END) AS en FROM lg)"""
+
+
+@query("decode_serving", f"WITH {_LG}, {_SERVED}, x AS (SELECT vec_id, context, {_S} AS s0, greatest({_S}, {_E}) AS e0 FROM sv) SELECT vec_id, "
+       "CASE WHEN s0 = 0 THEN 'No answer found in the given context.' ELSE substr(context, 3 * s0 + 1, 3 * (e0 - s0 + 1)) END AS text FROM x")
 def decode_serving(spark, d):
-    return _decoded(_logits(spark, d), decode.serving_span(F.col("st"), F.col("en")))
+    """Token i is masked where vec_id + i + 1 is divisible by 5."""
+    l = _logits(spark, d)
+    mask = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: (F.pmod(F.col("vec_id") + i, F.lit(5)) > 0).cast("int"))
+    return l.select("vec_id", decode.serving_answer(F.col("context"), F.col("offsets"), F.col("st"), F.col("en"), mask).alias("text"))
 
 
 def _sq_nbest(n: int, longest: int, null: bool) -> str:
     top = "list_slice(list_sort(list_transform(range(1, 33), lambda i: {{'k': -CAST({0}[i] AS DOUBLE), 'i': i - 1}})), 1, {1})"
-    cut = "WHERE k IS NULL OR -k - none >= 0" if null else ""
     s0, e0 = "coalesce(m.s, -1)", "coalesce(m.e, -1)"
     if null:
         keep = "m IS NOT NULL AND -m.k - none >= 0"
         s0, e0 = f"CASE WHEN {keep} THEN m.s ELSE -1 END", f"CASE WHEN {keep} THEN m.e ELSE -1 END"
-    del cut
     return (
         f"WITH {_LG}, t AS (SELECT vec_id, context, CAST(st[1] AS DOUBLE) + CAST(en[1] AS DOUBLE) AS none, {top.format('st', n)} AS a, {top.format('en', n)} AS b FROM lg), "
         f"pairs AS (SELECT vec_id, x.x AS x, unnest(b) AS y FROM (SELECT vec_id, b, unnest(a) AS x FROM t) AS x), "
@@ -100,30 +106,93 @@ def decode_nbest10_null(spark, d):
 # Features.
 
 def _examples(spark, d) -> DataFrame:
-    return b.examples(spark, d)
+    """Examples by context, so that a worker meets each context's questions one after the other."""
+    return b.examples(spark, d).sortWithinPartitions("context_id")
+
 
+# The stand-in tokenizer in SQL: runs of letters, digits and underscores, and single other signs.
+_WS = tx.WS[1:-1]
+_PIECE = f"[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_{_WS}]"
 
-@query("feature_rows")
+
+def _sq_tokens_of(name: str, table: str, key: str, text: str, most: int | None = None) -> str:
+    """CTE name(key, k, s, e): the tokens with their offsets."""
+    limit = f" WHERE k < {most}" if most else ""
+    return (
+        f"{name}_l AS (SELECT {key}, regexp_extract_all({text}, '[{_WS}]+|{_PIECE}') AS l FROM {table} WHERE {text} IS NOT NULL), "
+        f"{name}_u AS (SELECT {key}, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM {name}_l), "
+        f"{name}_s AS (SELECT {key}, i, t, coalesce(sum(length(t)) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {name}_u), "
+        f"{name} AS (SELECT * FROM (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS k, s, s + length(t) AS e FROM {name}_s WHERE NOT regexp_full_match(t, '[{_WS}]+')){limit})"
+    )
+
+
+def _sq_sizes(length: int) -> str:
+    return (
+        f"fq AS (SELECT ex.id, ex.context_id, coalesce(first_start, -1) AS a, coalesce(first_start, -1) + length(coalesce(first_text, '')) AS z, first_start, first_text, ex.context, "
+        f"coalesce((SELECT count(*) FROM qt WHERE qt.id = ex.id), 0) AS q, coalesce((SELECT count(*) FROM ct WHERE ct.context_id = ex.context_id), 0) AS n FROM ex), "
+        f"fr AS (SELECT *, greatest(1, {length} - q - 3) AS room FROM fq)"
+    )
+
+
+_TOK = [_sq_tokens_of("ct", "p", "context_id", "context"), _sq_tokens_of("qt", "q", "id", "question", 380)]
+
+
+@query("feature_rows", sql("""SELECT w.id, feature_idx, q + 3 + least(room, n - frm) AS length,
+CASE WHEN s.k >= frm AND s.k < frm + room AND e.k >= s.k AND e.k < frm + room THEN q + 2 + s.k - frm ELSE 0 END AS start_position,
+CASE WHEN s.k >= frm AND s.k < frm + room AND e.k >= s.k AND e.k < frm + room THEN q + 2 + e.k - frm ELSE 0 END AS end_position
+FROM w LEFT JOIN ct s ON s.context_id = w.context_id AND s.s <= w.a AND w.a < s.e LEFT JOIN ct e ON e.context_id = w.context_id AND e.s < w.z AND w.z <= e.e""",
+    *_TOK, _sq_sizes(384), """w AS (SELECT *, feature_idx * step AS frm FROM (SELECT *, unnest(range(0, CAST(greatest(0, ceil((n - room) / step)) AS BIGINT) + 1)) AS feature_idx
+FROM (SELECT *, room - least(128, room - 1) AS step FROM fr)))"""))
 def feature_rows(spark, d):
     """Windows of 384 tokens with a stride of 128, and the labels of the first answer."""
-    e = _examples(spark, d)
-    w = features.build_windows(e, max_length=384, stride=128)
-    spans = e.select("id", F.coalesce("first_start", F.lit(-1)).alias("a"), (F.coalesce("first_start", F.lit(-1)) + F.length(F.coalesce("first_text", F.lit("")))).alias("z"))
-    label = features.label_span(F.col("offsets"), F.col("sequence_ids"), F.col("a"), F.col("z"))
-    return w.join(spans, "id").select("id", "feature_idx", F.size("input_ids").alias("length"), label.alias("label")).select("id", "feature_idx", "length", "label.*")
+    a = F.coalesce("first_start", F.lit(-1))
+    e = _examples(spark, d).withColumns({"a": a, "z": a + F.length(F.coalesce("first_text", F.lit("")))})
+    w = features.build_windows(e, max_length=384, stride=128, label=("a", "z", "context"))
+    return w.select("id", "feature_idx", F.size("input_ids").alias("length"), "start_position", "end_position")
 
 
 @query("feature_labels_by_mode")
 def feature_labels_by_mode(spark, d):
     """How often the three labelling rules put the answer's tokens at different places."""
-    e = _examples(spark, d).where("first_start >= 0 and first_text is not null")
-    w = features.build_windows(e, max_length=512)
-    j = w.join(e.select("id", "first_start", (F.col("first_start") + F.length("first_text")).alias("z")), "id")
+    e = _examples(spark, d).where("first_start >= 0 and first_text is not null").withColumn("z", F.col("first_start") + F.length("first_text"))
+    w = features.build_windows(e, max_length=512, carry=("first_start", "z"))
     labels = [features.label_span(F.col("offsets"), F.col("sequence_ids"), F.col("first_start"), F.col("z"), m).alias(m) for m in ("context", "first", "last")]
-    s = j.select("id", *labels)
+    s = w.select("id", *labels)
     return s.agg(F.count("*").alias("n"), F.count_if(F.col("context") == F.col("first")).alias("first_agrees"), F.count_if(F.col("context") == F.col("last")).alias("last_agrees"))
 
 
+def _sq_all_tokens(length: int) -> str:
+    """CTE tk(id, i, s, e): all tokens of the single window, special ones at (0, 0)."""
+    return (
+        "tk AS (SELECT id, 0 AS i, 0 AS s, 0 AS e FROM fr UNION ALL SELECT id, 1 + k, s, e FROM qt JOIN fr USING (id) UNION ALL SELECT id, q + 1, 0, 0 FROM fr "
+        "UNION ALL SELECT id, q + 2 + k, ct.s, ct.e FROM fr JOIN ct USING (context_id) WHERE k < room UNION ALL SELECT id, q + 2 + least(n, room), 0, 0 FROM fr)"
+    )
+
+
+_MATCHED = """mt AS (SELECT x.id, max(i) FILTER (WHERE s <= x.a AND x.a < e) AS i, max(i) FILTER (WHERE s < x.z AND x.z <= e) AS j, min(i) FILTER (WHERE e > 0) AS first, max(i) AS last FROM x JOIN tk USING (id) GROUP BY x.id)"""
+
+
+@query("answerable_features", sql("SELECT x.id, CASE WHEN j >= i THEN i ELSE 0 END AS start_position, CASE WHEN j >= i THEN j ELSE 0 END AS end_position, x.first_text AS gold_text FROM x JOIN mt USING (id)",
+    *_TOK, _sq_sizes(384), _sq_all_tokens(384), "x AS (SELECT fr.id, first_start AS a, first_start + length(first_text) AS z, first_text FROM fr JOIN q ON q.id = fr.id WHERE NOT q.is_impossible AND first_text IS NOT NULL AND first_start IS NOT NULL)", _MATCHED))
+def answerable_features(spark, d):
+    """One row of 384 tokens for each answerable question, the last fitting tokens as labels."""
+    e = _examples(spark, d).where("not is_impossible and first_text is not null and first_start is not null").withColumn("z", F.col("first_start") + F.length("first_text"))
+    w = features.build_windows(e, max_length=384, carry=("first_text",), label=("first_start", "z", "last"))
+    return w.select("id", "start_position", "end_position", F.col("first_text").alias("gold_text"))
+
+
+@query("lenient_features", sql("""SELECT x.id, CASE WHEN j >= i THEN i ELSE first END AS start_position, CASE WHEN j >= i THEN j ELSE coalesce((SELECT min(t.i) FROM tk t LEFT JOIN tk u ON u.id = t.id AND u.i = t.i + 1
+WHERE t.id = x.id AND t.i >= first AND (t.i >= last OR u.s > x.z)), first) END AS end_position, x.a AS answer_start FROM x JOIN mt USING (id)""",
+    *_TOK, _sq_sizes(512), _sq_all_tokens(512), """x AS (SELECT id, a, a + length(first_text) AS z FROM (SELECT id, first_text, CASE WHEN first_start >= 0 AND first_start < length(context) AND substr(context, first_start + 1, length(first_text)) = first_text THEN first_start
+ELSE strpos(context, first_text) - 1 END AS a FROM fr WHERE first_text IS NOT NULL) WHERE a >= 0)""", _MATCHED))
+def lenient_features(spark, d):
+    """Answers that are not at their place are sought; those that are nowhere lose their row."""
+    e = _examples(spark, d).where("first_text is not null")
+    e = e.withColumn("a", features.exact_or_found(F.col("context"), F.col("first_text"), F.col("first_start"))).where("a >= 0").withColumn("z", F.col("a") + F.length("first_text"))
+    w = features.build_windows(e, max_length=512, carry=("a",), label=("a", "z", "lenient"))
+    return w.select("id", "start_position", "end_position", F.col("a").alias("answer_start"))
+
+
 @query("fallback_chunks", sql("""SELECT id || '_' || (pos // 128) AS id, length(substr(context, pos + 1, 256)) AS len FROM (SELECT id, context, unnest(range(0, length(context), 128)) AS pos FROM ex WHERE length(context) > 32)"""))
 def fallback_chunks(spark, d):
     return features.fallback_chunks(_examples(spark, d)).select("id", F.length("text").cast("long").alias("len"))
@@ -135,26 +204,17 @@ def boundary_weights(spark, d):
     return b.questions(spark, d).select("id", F.round(F.aggregate(w, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
+def _shared_word_model(pdf):
+    """A stand-in for a model: start and end at the context token that the question shares last."""
+    scores = [[float(s == 1 and i in asked) for i, s in zip(ids, seq)]
+              for ids, seq in zip(pdf["input_ids"], pdf["sequence_ids"]) for asked in [{i for i, s in zip(ids, seq) if s == 0}]]
+    return scores, scores
+
+
 @query("serve_one")
 def serve_one(spark, d):
-    """The online path: the same plan over request rows; requests with an empty side are rejected."""
-    e = _examples(spark, d).select("id", F.trim("question").alias("question"), F.trim("context").alias("context"))
-    ok = e.where("question <> '' and context <> ''")
-    w = features.build_windows(ok, max_length=512)
-
-    def predict(pdf):
-        # A stand-in for a model: start at the context token that the question shares last.
-        starts, ends = [], []
-        for ids, seq in zip(pdf["input_ids"], pdf["sequence_ids"]):
-            asked = {i for i, s in zip(ids, seq) if s == 0}
-            score = [float(s == 1 and i in asked) for i, s in zip(ids, seq)]
-            starts.append(score)
-            ends.append(score)
-        return starts, ends
-
-    s = features.infer(w, predict).join(ok.select("id", "context"), "id")
-    span = decode.serving_span(F.col("start_logits"), F.col("end_logits"))
-    return s.select("id", decode.span_text(F.col("context"), F.col("offsets"), span).alias("answer"))
+    """The online path: the same plan over request rows; requests with an empty side get an error."""
+    return serving.respond(b.examples(spark, d).select("id", "question", "context"), _shared_word_model)
 
 
 # Similarity and lexicon.
@@ -190,15 +250,35 @@ def answer_similarities(spark, d):
 
 # Translation stage and reports.
 
+def _lexicon_engine(spark, d):
+    from ..operators.translate import word_for_word
+
+    # The lexicon is a fixed table of a hundred-odd rows.
+    rows = read_table(spark, d, "lexicon", "lex_id", "en_term", "te_term").where("te_term is not null").orderBy("lex_id").select("en_term", "te_term").collect()
+    return word_for_word({r[0]: r[1] for r in rows})
+
+
 @query("translated_questions")
 def translated_questions(spark, d):
     """Questions through a word-for-word engine made of the lexicon: distinct strings once, joined back."""
-    from ..operators.translate import translate_strings, word_for_word
+    from ..operators.translate import translate_strings
 
-    # The lexicon is a fixed table of a hundred-odd rows.
-    pairs = {r[0]: r[1] for r in read_table(spark, d, "lexicon", "lex_id", "en_term", "te_term").where("te_term is not null").orderBy("lex_id").select("en_term", "te_term").collect()}
     q = b.questions(spark, d).select("id", "question")
-    return q.join(translate_strings(q, "question", word_for_word(pairs)), "question").select("id", "translated")
+    return q.join(translate_strings(q, "question", _lexicon_engine(spark, d)), "question").select("id", "translated")
+
+
+@query("translated_dataset")
+def translated_dataset(spark, d):
+    """Titles, contexts, questions and answers translated independently; offsets kept from the original."""
+    from ..operators.translate import translate_flat
+
+    p = b.paragraphs(spark, d).where("orig_context_id is null").select("context_id", "title", "context")
+    q = b.questions(spark, d).select("id", "context_id", "question", "is_impossible")
+    a = b.answers(spark, d).where("not is_plausible").groupBy(F.col("qa_id").alias("id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("answer_no", "answer_id", "text", "answer_start"))), lambda x: F.struct(x["text"].alias("text"), x["answer_start"].alias("answer_start"))).alias("answers"))
+    flat = q.join(p, "context_id").join(a, "id", "left")
+    out = translate_flat(flat, ["title", "context", "question"], ["answers"], _lexicon_engine(spark, d))
+    return out.select("id", "title", "question", F.md5("context").alias("context_hash"), F.to_json("answers").alias("answers"))
 
 
 @query("translation_progress", sql("""SELECT count(DISTINCT p.context_id) FILTER (WHERE p.orig_context_id IS NULL) AS originals, count(DISTINCT p.context_id) FILTER (WHERE p.orig_context_id IS NOT NULL) AS translations,

@@ -118,14 +118,15 @@ def snippets(spark, d):
     return s.select("answer_id", tx.snippet(F.col("context"), F.col("answer_start"), F.length("text"), 50).alias("snippet"))
 
 
-@query("regrouped", sql("""SELECT article_id, count(*) AS n_paragraphs, string_agg(context_id || ':' || n, ',' ORDER BY para_no, context_id) AS layout FROM (
-SELECT p.article_id, p.para_no, p.context_id, count(q.id) AS n FROM p LEFT JOIN q ON q.context_id = p.context_id GROUP BY ALL) GROUP BY article_id"""))
+@query("regrouped", sql("""SELECT article_id, block, count(*) AS n_paragraphs, string_agg(context_id || ':' || n, ',' ORDER BY para_no, context_id) AS layout FROM (
+SELECT p.article_id, p.para_no // 100 AS block, p.para_no, p.context_id, count(q.id) AS n FROM p LEFT JOIN q ON q.context_id = p.context_id GROUP BY ALL) GROUP BY article_id, block"""))
 def regrouped(spark, d):
+    """Articles in blocks of paragraphs, so that a large article is not gathered in one row."""
     n = b.questions(spark, d).groupBy("context_id").agg(F.count("*").alias("n"))
-    p = b.paragraphs(spark, d).select("article_id", "para_no", "context_id").join(n, "context_id", "left")
+    p = b.paragraphs(spark, d).select("article_id", F.floor(F.col("para_no") / 100).alias("block"), "para_no", "context_id").join(n, "context_id", "left")
     item = F.struct("para_no", "context_id", F.concat("context_id", F.lit(":"), F.coalesce("n", F.lit(0)).cast("string")).alias("x"))
-    return p.groupBy("article_id").agg(F.count("*").alias("n_paragraphs"), F.array_sort(F.collect_list(item)).alias("l")).select(
-        "article_id", "n_paragraphs", F.array_join(F.transform("l", lambda x: x["x"]), ",").alias("layout")
+    return p.groupBy("article_id", "block").agg(F.count("*").alias("n_paragraphs"), F.array_sort(F.collect_list(item)).alias("l")).select(
+        "article_id", "block", "n_paragraphs", F.array_join(F.transform("l", lambda x: x["x"]), ",").alias("layout")
     )
 
 
@@ -169,7 +170,15 @@ _texts("char_codes", lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.l
        "array_to_string(list_transform(range(1, 13), lambda i: CAST(CASE WHEN substr(text, i, 1) = '' THEN 0 ELSE ord(substr(text, i, 1)) END AS VARCHAR)), ' ')")
 
 
-@query("find_all")
+_OCC = """occ(answer_id, context, text, pos) AS (SELECT answer_id, context, text, strpos(context, text) - 1 FROM spans WHERE length(text) > 0 AND strpos(context, text) > 0
+UNION ALL SELECT answer_id, context, text, pos + strpos(substr(context, pos + 2), text) FROM occ WHERE strpos(substr(context, pos + 2), text) > 0)"""
+
+
+def _recursive(body: str, *more: str) -> str:
+    return sql(body, *more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("find_all", _recursive("SELECT s.answer_id, count(o.pos) AS n, coalesce(min(o.pos), -1) AS first_at, coalesce(max(o.pos), -1) AS last_at FROM spans s LEFT JOIN occ o USING (answer_id) GROUP BY s.answer_id", _OCC))
 def find_all(spark, d):
     l = tx.find_all(F.col("context"), F.col("text"))
     s = b.spans(spark, d).select("answer_id", l.alias("l"))
@@ -227,7 +236,38 @@ def validity_classes(spark, d):
     v = spans.question_verdicts(_fuzzy(spark, d)).select(F.col("qa_id").alias("id"), "valid")
     q = b.questions(spark, d).join(v, "id", "left").select("split", "is_impossible", F.coalesce("valid", F.lit(False)).alias("valid"))
     n = q.groupBy("split", "is_impossible", "valid").agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("split")), 6))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@query("invalid_examples")
+def invalid_examples(spark, d):
+    """Two questions of each kind whose answers are all invalid, with what stands at the place."""
+    f = _fuzzy(spark, d).where(F.col("is_plausible") == F.col("is_impossible"))
+    bad = f.groupBy("qa_id", "is_impossible").agg(
+        F.max(F.col("valid").cast("int")).alias("v"),
+        F.min(F.struct("answer_no", "answer_id", "text", F.substring("context", F.col("answer_start") + 1, F.length("text")).alias("stands"))).alias("a"),
+    ).where("v = 0")
+    part = Window.partitionBy("is_impossible", F.pmod(F.xxhash64("qa_id"), F.lit(64))).orderBy("qa_id")
+    few = bad.withColumn("k", F.row_number().over(part)).where("k <= 2")
+    return few.withColumn("k", F.row_number().over(Window.partitionBy("is_impossible").orderBy("qa_id"))).where("k <= 2").select(
+        "qa_id", "is_impossible", F.col("a.text").alias("text"), F.col("a.stands").alias("stands"))
+
+
+@query("file_validity", sql("""SELECT split, count(*) AS total, count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE is_impossible) AS impossible FROM (
+SELECT ex.split, ex.is_impossible, ex.is_impossible OR coalesce(first_start >= 0 AND first_start + length(first_text) <= length(context) AND substr(context, first_start + 1, length(first_text)) = first_text, false) AS ok FROM ex) GROUP BY split"""))
+def file_validity(spark, d):
+    """Questions whose first answer stands at its place; impossible ones count as valid."""
+    e = b.examples(spark, d)
+    ok = F.col("is_impossible") | F.coalesce(spans.exact_verdict(F.col("context"), F.col("first_text"), F.col("first_start")) == "ok", F.lit(False))
+    return e.groupBy("split").agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"), F.count_if("is_impossible").alias("impossible"))
+
+
+@query("diagnosed_answers", _recursive(f"SELECT s.answer_id, s.verdict, s.snippet, count(o.pos) AS n_places, string_agg(o.pos, ',' ORDER BY o.pos) AS places FROM (SELECT answer_id, {_EXACT} AS verdict, "
+       "substr(context, greatest(answer_start - 50, 0) + 1, greatest(least(answer_start + length(text) + 50, length(context)) - greatest(answer_start - 50, 0), 0)) AS snippet FROM spans WHERE NOT is_impossible) s LEFT JOIN occ o ON o.answer_id = s.answer_id AND s.verdict <> 'ok' GROUP BY ALL", _OCC))
+def diagnosed_answers(spark, d):
+    """Every answer's verdict and surroundings and, if it is not in its place, all places where it stands."""
+    s = b.spans(spark, d).where("not is_impossible")
+    return spans.diagnosed(s, "context", "text", "answer_start").select("answer_id", "verdict", "snippet", "n_places", "places")
 
 
 @query("realigned_spans")
@@ -240,13 +280,19 @@ def realigned_spans(spark, d):
 
 @query("by_occurrence")
 def by_occurrence(spark, d):
-    """The occurrence in a translation that has the rank of the original's answer, by shared numbers or names."""
+    """Answers of translations, at the occurrence whose rank the original's answer has.
+
+    Translated rows keep the offset of the original, so an original's answer at the same offset
+    of the paragraph that they were made from is the one they translate.
+    """
     p = b.paragraphs(spark, d)
-    t = p.where("orig_context_id is not null").select("context_id", F.col("orig_context_id").alias("orig"), "context")
-    o = p.select(F.col("context_id").alias("orig"), F.col("context").alias("source"))
-    s = b.spans(spark, d).select("answer_id", "context_id", "text", "answer_start").where("text is not null and answer_start >= 0")
-    j = s.join(t.join(o, "orig"), "context_id")
-    new = spans.by_occurrence(F.col("source"), F.col("text"), F.col("answer_start"), F.col("context"), F.col("text"))
+    made = p.where("orig_context_id is not null").select("context_id", "orig_context_id")
+    s = b.spans(spark, d).select("answer_id", "context_id", "context", "text", "answer_start").where("text <> '' and answer_start >= 0")
+    o = s.select(F.col("context_id").alias("orig_context_id"), "answer_start", F.col("context").alias("source"), F.col("text").alias("source_text"))
+    o = o.where(F.substring("source", F.col("answer_start") + 1, F.length("source_text")) == F.col("source_text"))
+    o = o.groupBy("orig_context_id", "answer_start").agg(F.min(F.struct("source_text", "source")).alias("o"))
+    j = s.join(made, "context_id").join(o, ["orig_context_id", "answer_start"])
+    new = spans.by_occurrence(F.col("o.source"), F.col("o.source_text"), F.col("answer_start"), F.col("context"), F.col("text"))
     return j.select("answer_id", new.alias("new_start"))
 
 
@@ -256,23 +302,19 @@ def _subs(spark, d):
     return chunking.split_contexts(b.paragraphs(spark, d).select("context_id", "context"), "context_id", "context")
 
 
-_CHUNKS = """RECURSIVE_MARK chunks(context_id, context, pos, stop, idx) AS (
+_CHUNKS = """chunks(context_id, context, pos, stop, idx) AS (
 SELECT context_id, context, 0, CASE WHEN length(context) <= 500 OR strpos(substr(context, 501), ' ') = 0 THEN length(context) ELSE 499 + strpos(substr(context, 501), ' ') END, 1 FROM p WHERE context IS NOT NULL
 UNION ALL SELECT context_id, context, nxt, CASE WHEN nxt + 500 >= length(context) OR strpos(substr(context, nxt + 501), ' ') = 0 THEN length(context) ELSE nxt + 499 + strpos(substr(context, nxt + 501), ' ') END, idx + 1 FROM (
 SELECT *, CASE WHEN back > pos AND back < stop THEN back ELSE stop END AS nxt FROM (
 SELECT *, CASE WHEN strpos(reverse(substr(context, 1, stop - 100)), ' ') > 0 THEN stop - 100 - strpos(reverse(substr(context, 1, stop - 100)), ' ') + 1 ELSE 0 END AS back FROM chunks WHERE stop < length(context))))"""
 
 
-def _recursive(body: str) -> str:
-    return sql(body, _CHUNKS.replace("RECURSIVE_MARK ", "")).replace("WITH ", "WITH RECURSIVE ", 1)
-
-
-@query("split_contexts", _recursive("SELECT context_id, idx AS sub_idx, context_id || format('_{:02d}', idx) AS sub_id, pos AS start_idx, stop - pos AS len FROM chunks"))
+@query("split_contexts", _recursive("SELECT context_id, idx AS sub_idx, context_id || format('_{:02d}', idx) AS sub_id, pos AS start_idx, stop - pos AS len FROM chunks", _CHUNKS))
 def split_contexts(spark, d):
     return _subs(spark, d).select("context_id", "sub_idx", "sub_id", "start_idx", F.length("text").alias("len"))
 
 
-@query("split_statistics", _recursive("SELECT count(*) AS chunks, count(DISTINCT context_id) AS contexts, round(count(*) / count(DISTINCT context_id), 6) AS average FROM chunks"))
+@query("split_statistics", _recursive("SELECT count(*) AS chunks, count(DISTINCT context_id) AS contexts, round(count(*) / count(DISTINCT context_id), 6) AS average FROM chunks", _CHUNKS))
 def split_statistics(spark, d):
     per = _subs(spark, d).groupBy("context_id").agg(F.count("*").alias("n"))
     return per.agg(F.sum("n").alias("chunks"), F.count("*").alias("contexts")).withColumn("average", F.round(F.col("chunks") / F.col("contexts"), 6))
@@ -282,12 +324,20 @@ def _first(spark, d):
     return b.examples(spark, d).select("id", "context_id", "is_impossible", F.col("first_text").alias("answer_text"), F.col("first_start").alias("answer_start"))
 
 
-@query("place_answers")
+_PLACED = [_CHUNKS, """qq AS (SELECT id, context_id, is_impossible, first_text AS t, first_start AS a FROM ex WHERE is_impossible OR (first_text IS NOT NULL AND first_start IS NOT NULL)),
+sb AS (SELECT context_id, idx, context_id || format('_{:02d}', idx) AS sub_id, pos, substr(context, pos + 1, stop - pos) AS txt FROM chunks),
+nr AS (SELECT id, (min({'d': abs(a - pos), 'i': idx})).i AS near FROM qq JOIN sb USING (context_id) GROUP BY id),
+rk AS (SELECT qq.id, qq.context_id, is_impossible, idx, sub_id, strpos(txt, t) AS hit, CASE WHEN idx = near THEN 0 WHEN idx = near + 1 THEN 1 WHEN idx = near - 1 THEN 2 ELSE 3 END AS r
+  FROM qq JOIN sb USING (context_id) JOIN nr ON nr.id = qq.id),
+pl AS (SELECT id, context_id, is_impossible, min({'r': r, 'i': idx, 's': sub_id, 'h': hit - 1}) FILTER (WHERE CASE WHEN is_impossible THEN idx = 1 ELSE hit > 0 END) AS m FROM rk GROUP BY id, context_id, is_impossible)"""]
+
+
+@query("place_answers", _recursive("SELECT id, context_id, is_impossible, m.s AS sub_id, CASE WHEN NOT is_impossible THEN m.h END AS answer_start FROM pl WHERE m IS NOT NULL", *_PLACED))
 def place_answers(spark, d):
     return chunking.place_answers(_first(spark, d), _subs(spark, d)).where("sub_id is not null")
 
 
-@query("lost_answers")
+@query("lost_answers", _recursive("SELECT id, context_id FROM pl WHERE m IS NULL", *_PLACED))
 def lost_answers(spark, d):
     return chunking.place_answers(_first(spark, d), _subs(spark, d)).where("sub_id is null").select("id", "context_id")
 
@@ -334,7 +384,7 @@ def compare_models(spark, d):
     return m.groupBy("split").pivot("model", ["slice", "last"]).agg(F.max("em").alias("em"), F.max("f1").alias("f1"))
 
 
-@query("impossible_accuracy", sql(f"SELECT model, {_SQ_MEANS.split(', ')[-2] if False else _SQ_MEANS[_SQ_MEANS.index('round(coalesce'):]} FROM sc GROUP BY model"))
+@query("impossible_accuracy", sql(f"SELECT model, {_SQ_MEANS[_SQ_MEANS.index('round(coalesce'):]} FROM sc GROUP BY model"))
 def impossible_accuracy(spark, d):
     return b.scored(spark, d).groupBy("model").agg(_means()[-1])
 
@@ -430,10 +480,67 @@ def _sq_rouge(n: int) -> str:
 
 @query("rouge_n", sql(f"SELECT id, model, {_sq_rouge(1)}, {_sq_rouge(2)} FROM (SELECT id, model, {_SQ_RT.format('pred')} AS p_tok, {_SQ_RT.format('gold')} AS g_tok FROM sc)"))
 def rouge_n(spark, d):
-    p, g = F.col("pred"), F.col("gold")
-    return b.scored(spark, d).select("id", "model", *(F.round(metrics.rouge_n(p, g, n, unicode=True), 6).alias(f"rouge{n}") for n in (1, 2)))
+    s = b.scored(spark, d).select("id", "model", *(c.alias(f"rouge{n}") for n, c in enumerate(metrics.rouge_n(F.col("pred"), F.col("gold"), 2, unicode=True), 1)))
+    return s.withColumns({c: F.round(c, 6) for c in ("rouge1", "rouge2")})
 
 
 @query("rouge_l")
 def rouge_l(spark, d):
     return b.scored(spark, d).select("id", "model", F.round(metrics.rouge_l(F.col("pred"), F.col("gold"), unicode=True), 6).alias("rouge_l"))
+
+
+@query("rouge_stemmed")
+def rouge_stemmed(spark, d):
+    """ROUGE 1, 2 and L on ASCII words with stems."""
+    p, g = F.col("pred"), F.col("gold")
+    r1, r2 = metrics.rouge_n(p, g, 2, stem=True)
+    s = b.scored(spark, d).select("id", "model", r1.alias("rouge1"), r2.alias("rouge2"), metrics.rouge_l(p, g, stem=True).alias("rouge_l"))
+    return s.withColumns({c: F.round(c, 6) for c in ("rouge1", "rouge2", "rouge_l")})
+
+
+@query("all_metrics")
+def all_metrics(spark, d):
+    """Every metric of a model and split in one aggregate over one scan of the predictions."""
+    p, g = F.col("pred"), F.col("gold")
+    parts = metrics.bleu_parts(tx.normalize_script(p), tx.normalize_script(g), 4)
+    r1, r2 = metrics.rouge_n(p, g, 2, unicode=True)
+    s = b.scored(spark, d).select("model", "split", "pred", "gold", *(c.alias(k) for k, c in parts.items()), r1.alias("r1"), r2.alias("r2"), metrics.rouge_l(p, g, unicode=True).alias("rl"))
+    each = {k: F.col(k) for k in parts}
+    return s.groupBy("model", "split").agg(
+        *_means(), *(F.round(100 * F.avg(metrics.bleu_from(each, k)), 4).alias(f"bleu{k}") for k in range(1, 5)),
+        *(F.round(100 * F.avg(c), 4).alias(n) for c, n in (("r1", "rouge1"), ("r2", "rouge2"), ("rl", "rouge_l"))),
+    )
+
+
+@query("metrics_by_split", sql(f"""SELECT model, metric, max(v) FILTER (WHERE split = 'validation') AS validation, max(v) FILTER (WHERE split = 'test') AS test
+FROM (UNPIVOT (SELECT model, split, {_SQ_MEANS} FROM sc GROUP BY model, split) ON em, f1, impossible_acc INTO NAME metric VALUE v) GROUP BY model, metric"""))
+def metrics_by_split(spark, d):
+    """The summary of validation beside test: one row for each metric."""
+    m = qa_metrics_mean(spark, d).unpivot(["model", "split"], ["em", "f1", "impossible_acc"], "metric", "v")
+    return m.groupBy("model", "metric").pivot("split", ["validation", "test"]).agg(F.max("v"))
+
+
+@query("completed_predictions", sql("SELECT q.id, q.question, coalesce(l.text, '') AS pred FROM q LEFT JOIN (SELECT qa_id, max(text) AS text FROM a WHERE NOT is_plausible AND answer_no = 0 GROUP BY qa_id) l ON l.qa_id = q.id"))
+def completed_predictions(spark, d):
+    """Predictions for all examples: what is missing counts as empty, what is too much is dropped."""
+    preds = b.answers(spark, d).where("not is_plausible and answer_no = 0").groupBy(F.col("qa_id").alias("id")).agg(F.max("text").alias("pred"))
+    return metrics.complete(b.questions(spark, d).select("id", "question"), preds)
+
+
+@query("adjusted_dataset")
+def adjusted_dataset(spark, d):
+    """Translated passages with all answers placed again, as a flat data set."""
+    return _adjusted(spark, d)[0].select("id", "is_impossible", F.to_json("answers").alias("answers"), F.to_json("plausible_answers").alias("plausible_answers"))
+
+
+@query("low_similarity")
+def low_similarity(spark, d):
+    """The report of answers placed with low similarity, by title."""
+    return spans.low_report(_adjusted(spark, d)[1]).select("title", F.size("paragraphs").alias("n_cases"))
+
+
+def _adjusted(spark, d):
+    from .io_queries import flat_dataset
+
+    p = b.paragraphs(spark, d).where("orig_context_id is not null").select("context_id")
+    return spans.adjust_dataset(flat_dataset(spark, d).join(p, "context_id", "left_semi"))

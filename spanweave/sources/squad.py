@@ -16,9 +16,30 @@ FLAT = (
 )
 
 
-def read_squad(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """The nested file(s); strict fails on malformed ones, otherwise they come out null."""
-    return spark.read.schema(SQUAD).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def missing_files(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
+    """Those of ``names`` that ``folder`` does not have."""
+    return [n for n in names if not exists(spark, f"{folder.rstrip('/')}/{n}")]
+
+
+def read_squad(spark: SparkSession, path: str, strict: bool = True, lines: bool = False) -> DataFrame:
+    """Nested document(s): whole files, or with ``lines`` one document a line.
+
+    ``strict`` fails on a missing path or a malformed document. Otherwise a missing path gives
+    an empty frame, and malformed documents come out with null ``data`` and their text in
+    ``_corrupt_record``.
+    """
+    reader = spark.read.option("multiLine", not lines)
+    if strict:
+        return reader.schema(SQUAD).option("mode", "FAILFAST").json(path)
+    schema = f"{SQUAD}, _corrupt_record string"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
 def flatten(nested: DataFrame, impossible_default: bool = False) -> DataFrame:
@@ -37,32 +58,58 @@ def flatten(nested: DataFrame, impossible_default: bool = False) -> DataFrame:
     )
 
 
-def regroup(flat: DataFrame) -> DataFrame:
-    """Back to one row for each article: (article_idx, title, paragraphs); empty parents vanish."""
+def regroup(flat: DataFrame, part: int | None = None) -> DataFrame:
+    """Back to one row for each article: (article_idx, part, title, paragraphs); empty parents vanish.
+
+    With ``part`` an article of many paragraphs gives several rows, of at most that many
+    paragraphs each, so that no task holds a large article whole.
+    """
     qa = F.struct("qa_idx", "id", "question", "is_impossible", "answers", "plausible_answers")
     paras = flat.groupBy("article_idx", "para_idx").agg(
         F.first("title").alias("title"), F.first("context").alias("context"), F.first("context_id").alias("context_id"),
         F.transform(F.array_sort(F.collect_list(qa)), lambda x: x.dropFields("qa_idx")).alias("qas"),
     )
     para = F.struct("para_idx", "context", "context_id", "qas")
-    return paras.groupBy("article_idx").agg(
+    number = F.floor(F.col("para_idx") / part).cast("int") if part else F.lit(0)
+    return paras.groupBy("article_idx", number.alias("part")).agg(
         F.first("title").alias("title"), F.transform(F.array_sort(F.collect_list(para)), lambda x: x.dropFields("para_idx")).alias("paragraphs")
     )
 
 
-def write_squad(flat: DataFrame, path: str, by: str = "article") -> None:
-    """One JSON object for each article and line; the order is kept by a sort on the ordinal."""
-    regroup(flat).orderBy("article_idx").select("title", "paragraphs").write.mode("overwrite").json(path)
+def write_squad(flat: DataFrame, path: str, part: int | None = 500, version: str = "v2.0") -> None:
+    """Nested documents, one a line: {version, data: [article]}, articles in parts of ``part``
+    paragraphs. ``read_squad(path, lines=True)`` reads them; non-ASCII characters are kept."""
+    article = F.struct("title", "paragraphs")
+    regroup(flat, part).select(F.lit(version).alias("version"), F.array(article).alias("data")).write.mode("overwrite").json(path)
+
+
+def export_document(flat: DataFrame, path: str, version: str = "v2.0", indent: int = 4, limit: int = 100_000) -> None:
+    """One pretty-printed document in one local file, for people to read; at most ``limit`` questions."""
+    import json
+
+    n = flat.count()
+    if n > limit:
+        raise ValueError(f"{n} questions are too many for one file; use write_squad")
+    rows = regroup(flat).orderBy("article_idx", "part").select(F.to_json(F.struct("title", "paragraphs"), {"ignoreNullFields": "false"}).alias("j")).collect()
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"version": version, "data": [json.loads(r["j"]) for r in rows]}, f, ensure_ascii=False, indent=indent)
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Files that ``write_squad`` made, in the nested form of ``read_squad``."""
-    article = SQUAD.split("data array<", 1)[1][:-1]
-    lines = spark.read.schema(f"title string, paragraphs {article.split('paragraphs:', 1)[1][:-1]}").json(path)
-    return lines.select(F.lit("v2.0").alias("version"), F.array(F.struct("title", "paragraphs")).alias("data"))
+TYDI = "id string, title string, context string, question string, answers struct<text:array<string>,answer_start:array<int>>"
 
 
-def zip_answers(texts: str, starts: str):
+def read_parallel(spark: SparkSession, path: str, keep=None) -> DataFrame:
+    """Flat records whose answers are parallel arrays, as a flat data set; ``keep`` filters the
+    records (for instance by the script of the question). Nothing in them is impossible."""
+    rows = spark.read.schema(TYDI).json(path)
+    rows = rows.where(keep) if keep is not None else rows
+    return rows.select(
+        "title", "context", "id", "question", F.lit(False).alias("is_impossible"),
+        zip_answers(F.col("answers.text"), F.col("answers.answer_start")).alias("answers"),
+    )
+
+
+def zip_answers(texts, starts):
     """Parallel arrays to an array of answers, cut to the shorter one."""
     n = F.least(F.size(texts), F.size(starts))
     return F.transform(F.arrays_zip(F.slice(texts, 1, n).alias("text"), F.slice(starts, 1, n).alias("answer_start")), lambda x: F.struct(
@@ -71,10 +118,16 @@ def zip_answers(texts: str, starts: str):
 
 def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The parquet table, or an empty one where the path does not exist."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.parquet(path)
-    return spark.createDataFrame([], schema)
+    return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV report that ``write_report`` made; texts with line breaks and quotes come back unchanged."""
+    return spark.read.schema(schema).options(**_CSV, multiLine=True).csv(path)
+
+
+# Backslashes are no escapes, quotes are doubled; blanks at the ends and empty texts are kept.
+_CSV = {"header": True, "escape": '"', "quoteAll": True, "emptyValue": "", "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_report(df: DataFrame, path: str, only_if_any: bool = True, kind: str = "json") -> bool:
@@ -82,5 +135,19 @@ def write_report(df: DataFrame, path: str, only_if_any: bool = True, kind: str =
     if only_if_any and df.isEmpty():
         return False
     w = df.write.mode("overwrite")
-    w.option("header", True).option("escape", '"').option("multiLine", True).csv(path) if kind == "csv" else w.json(path)
+    w.options(**_CSV).csv(path) if kind == "csv" else w.json(path)
     return True
+
+
+def log_metrics(metrics: DataFrame, path: str, run: str) -> None:
+    """Append a run's metrics, with its name and the time, to a table of runs."""
+    metrics.withColumns({"run": F.lit(run), "logged_at": F.current_timestamp()}).write.mode("append").parquet(path)
+
+
+def format_table(df: DataFrame, title: str, rows: int = 50) -> str:
+    """A fixed-width table with a title, for the console (the first ``rows`` rows)."""
+    shown = [[c for c in df.columns], *([("" if v is None else str(v)) for v in r] for r in df.limit(rows).collect())]
+    widths = [max(len(r[i]) for r in shown) for i in range(len(df.columns))]
+    rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
+    lines = ["| " + " | ".join(v.ljust(w) for v, w in zip(r, widths)) + " |" for r in shown]
+    return "\n".join([title.center(len(rule)), rule, lines[0], rule, *lines[1:], rule])
