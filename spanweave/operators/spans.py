@@ -49,15 +49,18 @@ def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else sequence_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def with_fuzzy_valid(df: DataFrame, context: str, answer: str, start: str, threshold: float = 0.9, out: str = "valid") -> DataFrame:
+def with_fuzzy_valid(df: DataFrame, context: str, answer: str, start: str, threshold: float = 0.9, out: str = "valid", endings: list[str] | None = None) -> DataFrame:
     """Add ``out``: the span equals the answer but for white space and case, or nearly does.
 
     Bounds and equality are native; only rows that are left reach the UDF (others send nulls).
-    Empty or null answers and spans out of bounds are invalid.
+    Empty or null answers and spans out of bounds are invalid. The stricter variant strips
+    ``endings`` (see ``functions.text.VALIDATOR_ENDINGS``) from both sides first.
     """
     c, a, s = F.col(context), F.col(answer), F.col(start)
     inside = F.coalesce((F.length(a) > 0) & (s >= 0) & (s + F.length(a) <= F.length(c)), F.lit(False))
     span, want = tx.squeeze_lower(span_at(c, s, F.length(a))), tx.squeeze_lower(a)
+    if endings:
+        span, want = tx.strip_ending(span, endings), tx.strip_ending(want, endings)
     left = inside & (span != want)
     ratio = _sequence_ratio(F.when(left, span), F.when(left, want))
     return df.withColumn(out, inside & ((span == want) | F.coalesce(ratio >= threshold, F.lit(False))))
@@ -111,7 +114,7 @@ class WindowSearch:
                 if best is not None and top <= best[0]:
                     continue  # even the best spelling could not win
                 a, b = window.lower(), target.lower()
-                score = 100 * (0.4 * indel_ratio(a, b) + 0.3 * token_similarity(window, target) + 0.3 * meaning) + self.bonus * complete
+                score = 100 * (0.4 * indel_ratio(a, b) + 0.3 * token_similarity(a, b) + 0.3 * meaning) + self.bonus * complete
                 if score > 0 and (best is None or score > best[0]):
                     best = (score, i, size)
         if best is None:

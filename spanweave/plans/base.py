@@ -157,3 +157,17 @@ def sq_clipped(a: str, b: str) -> str:
     return (
         f"coalesce(list_sum(list_transform(list_distinct({a}), lambda g: least(len(list_filter({a}, lambda y: y = g)), len(list_filter({b}, lambda y: y = g))))), 0)"
     )
+
+
+def sq_lcs(a: str, b: str) -> str:
+    """Longest common subsequence of two lists, row by row of the usual table."""
+    matches = f"list_transform({a}, lambda x: list_transform({b}, lambda y: CASE WHEN y = x THEN 1 ELSE 0 END))"
+    cell = "CASE WHEN m[j[1]] = 1 THEN old[j[1]] + 1 ELSE greatest(old[j[1] + 1], new[j[1]]) END"
+    row = f"list_reduce(list_prepend([0], list_transform(range(1, len({b}) + 1), lambda j: [j])), lambda new, j: list_append(new, {cell}))"
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE list_last(list_reduce(list_prepend(list_transform(range(0, len({b}) + 1), lambda z: 0), {matches}), lambda old, m: {row})) END"
+
+
+def sq_indel(a: str, b: str) -> str:
+    """2 * LCS / (length + length) of two strings; two empty ones are alike."""
+    chars = "list_transform(range(1, length({0}) + 1), lambda i: substr({0}, i, 1))"
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 1.0 ELSE 2.0 * ({sq_lcs(chars.format(a), chars.format(b))}) / (length({a}) + length({b})) END"

@@ -134,6 +134,14 @@ def _sq_sizes(length: int) -> str:
     )
 
 
+def _sq_all_tokens(length: int) -> str:
+    """CTE tk(id, i, s, e): all tokens of the single window, special ones at (0, 0)."""
+    return (
+        "tk AS (SELECT id, 0 AS i, 0 AS s, 0 AS e FROM fr UNION ALL SELECT id, 1 + k, s, e FROM qt JOIN fr USING (id) UNION ALL SELECT id, q + 1, 0, 0 FROM fr "
+        "UNION ALL SELECT id, q + 2 + k, ct.s, ct.e FROM fr JOIN ct USING (context_id) WHERE k < room UNION ALL SELECT id, q + 2 + least(n, room), 0, 0 FROM fr)"
+    )
+
+
 _TOK = [_sq_tokens_of("ct", "p", "context_id", "context"), _sq_tokens_of("qt", "q", "id", "question", 380)]
 
 
@@ -151,7 +159,13 @@ def feature_rows(spark, d):
     return w.select("id", "feature_idx", F.size("input_ids").alias("length"), "start_position", "end_position")
 
 
-@query("feature_labels_by_mode")
+def _sq_label(i: str, j: str) -> str:
+    return f"CASE WHEN {j} >= {i} THEN {i} || '-' || {j} ELSE '0-0' END"
+
+
+@query("feature_labels_by_mode", sql(f"""SELECT count(*) AS n, count(*) FILTER (WHERE {_sq_label('ci', 'cj')} = {_sq_label('fi', 'fj')}) AS first_agrees, count(*) FILTER (WHERE {_sq_label('ci', 'cj')} = {_sq_label('li', 'lj')}) AS last_agrees FROM (
+SELECT fr.id, min(i) FILTER (WHERE s <= a AND a < e AND i > q + 1) AS ci, min(i) FILTER (WHERE s < z AND z <= e AND i > q + 1) AS cj, min(i) FILTER (WHERE s <= a AND a < e) AS fi, min(i) FILTER (WHERE s < z AND z <= e) AS fj,
+max(i) FILTER (WHERE s <= a AND a < e) AS li, max(i) FILTER (WHERE s < z AND z <= e) AS lj FROM fr JOIN tk USING (id) WHERE first_start >= 0 AND first_text IS NOT NULL GROUP BY fr.id)""", *_TOK, _sq_sizes(512), _sq_all_tokens(512)))
 def feature_labels_by_mode(spark, d):
     """How often the three labelling rules put the answer's tokens at different places."""
     e = _examples(spark, d).where("first_start >= 0 and first_text is not null").withColumn("z", F.col("first_start") + F.length("first_text"))
@@ -161,14 +175,6 @@ def feature_labels_by_mode(spark, d):
     return s.agg(F.count("*").alias("n"), F.count_if(F.col("context") == F.col("first")).alias("first_agrees"), F.count_if(F.col("context") == F.col("last")).alias("last_agrees"))
 
 
-def _sq_all_tokens(length: int) -> str:
-    """CTE tk(id, i, s, e): all tokens of the single window, special ones at (0, 0)."""
-    return (
-        "tk AS (SELECT id, 0 AS i, 0 AS s, 0 AS e FROM fr UNION ALL SELECT id, 1 + k, s, e FROM qt JOIN fr USING (id) UNION ALL SELECT id, q + 1, 0, 0 FROM fr "
-        "UNION ALL SELECT id, q + 2 + k, ct.s, ct.e FROM fr JOIN ct USING (context_id) WHERE k < room UNION ALL SELECT id, q + 2 + least(n, room), 0, 0 FROM fr)"
-    )
-
-
 _MATCHED = """mt AS (SELECT x.id, max(i) FILTER (WHERE s <= x.a AND x.a < e) AS i, max(i) FILTER (WHERE s < x.z AND x.z <= e) AS j, min(i) FILTER (WHERE e > 0) AS first, max(i) AS last FROM x JOIN tk USING (id) GROUP BY x.id)"""
 
 
@@ -232,20 +238,43 @@ def base_words(spark, d):
     return words.select("word", base("word").alias("base"))
 
 
-@query("answer_similarities")
-def answer_similarities(spark, d):
-    """Three similarities between an answer and what stands at its offset."""
+def _answer_and_place(spark, d) -> DataFrame:
     s = b.spans(spark, d).where("text is not null and answer_start >= 0")
-    there = F.substring("context", F.col("answer_start") + 1, F.length("text"))
+    return s.select("answer_id", "text", F.substring("context", F.col("answer_start") + 1, F.length("text")).alias("there"))
+
+
+_PAIR = ["ap AS (SELECT answer_id, text, substr(context, answer_start + 1, length(text)) AS there FROM spans WHERE text IS NOT NULL AND answer_start >= 0)",
+         f"tk AS (SELECT *, {b.sq_tokens('text')} AS a, {b.sq_tokens('there')} AS c FROM ap)",
+         """st AS (SELECT *, array_to_string(list_sort(a), ' ') AS sa, array_to_string(list_sort(c), ' ') AS sc, array_to_string(list_sort(list_distinct(list_intersect(a, c))), ' ') AS common_words,
+array_to_string(list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(c, x)))), ' ') AS la, array_to_string(list_sort(list_distinct(list_filter(c, lambda x: NOT list_contains(a, x)))), ' ') AS lc FROM tk)""",
+         "ts AS (SELECT *, trim(common_words || ' ' || la) AS one, trim(common_words || ' ' || lc) AS two FROM st)"]
+
+
+@query("answer_similarities", sql(f"""SELECT answer_id, round({b.sq_indel('lower(text)', 'lower(there)')}, 6) AS indel, round((({b.sq_indel('sa', 'sc')}) + CASE WHEN len(a) = 0 OR len(c) = 0 THEN 0.0 WHEN common_words <> '' AND (la = '' OR lc = '') THEN 1.0
+WHEN common_words = '' THEN {b.sq_indel('one', 'two')} ELSE greatest({b.sq_indel('one', 'two')}, {b.sq_indel('common_words', 'one')}, {b.sq_indel('common_words', 'two')}) END) / 2, 6) AS token FROM ts""", *_PAIR))
+def answer_similarities(spark, d):
+    """Similarity in spelling and in tokens between an answer and what stands at its offset."""
+    @F.pandas_udf("struct<indel:double,token:double>")
+    def score(a, c):
+        import pandas as pd
+
+        # Most answers are at their place; equal pairs need no computation.
+        rows = [(1.0, 1.0 if x.split() else 0.5) if x == y else (indel_ratio(x.lower(), y.lower()), token_similarity(x, y)) for x, y in zip(a, c)]
+        return pd.DataFrame(rows, columns=["indel", "token"]).round(6)
+
+    return _answer_and_place(spark, d).select("answer_id", score("text", "there").alias("s")).select("answer_id", "s.*")
+
 
-    @F.pandas_udf("struct<indel:double,token:double,sequence:double>")
+@query("answer_sequence_ratio")
+def answer_sequence_ratio(spark, d):
+    """Ratcliff and Obershelp's ratio between an answer and what stands at its offset."""
+    @F.pandas_udf("double")
     def score(a, c):
         import pandas as pd
 
-        rows = [(indel_ratio(x.lower(), y.lower()), token_similarity(x, y), sequence_ratio(x, y)) for x, y in zip(a, c)]
-        return pd.DataFrame(rows, columns=["indel", "token", "sequence"]).round(6)
+        return pd.Series([1.0 if x == y else sequence_ratio(x, y) for x, y in zip(a, c)], dtype="float64").round(6)
 
-    return s.select("answer_id", score(F.col("text"), there).alias("s")).select("answer_id", "s.*")
+    return _answer_and_place(spark, d).select("answer_id", score("text", "there").alias("ratio"))
 
 
 # Translation stage and reports.

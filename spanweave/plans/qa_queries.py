@@ -278,7 +278,10 @@ def realigned_spans(spark, d):
     return spans.realigned(s.select("answer_id", "context", "text"), "context", "text").drop("context", "text")
 
 
-@query("by_occurrence")
+@query("by_occurrence", _recursive("""SELECT answer_id, coalesce(l[r + 1], l[len(l)]) AS new_start FROM (SELECT t.answer_id, o.r, (SELECT list(occ.pos ORDER BY occ.pos) FROM occ WHERE occ.answer_id = t.answer_id) AS l
+FROM spans t JOIN p ON p.context_id = t.context_id JOIN o ON o.orig = p.orig_context_id AND o.answer_start = t.answer_start WHERE t.text <> '' AND t.answer_start >= 0)""", _OCC,
+    """so AS (SELECT context_id AS orig, answer_start, min({'t': text, 'a': answer_id}) AS m FROM spans WHERE text <> '' AND answer_start >= 0 AND substr(context, answer_start + 1, length(text)) = text GROUP BY ALL),
+o AS (SELECT orig, answer_start, (SELECT count(*) FROM occ WHERE occ.answer_id = m.a AND occ.pos < so.answer_start) AS r FROM so)"""))
 def by_occurrence(spark, d):
     """Answers of translations, at the occurrence whose rank the original's answer has.
 
@@ -473,9 +476,13 @@ def corpus_bleu(spark, d):
 _SQ_RT = "list_filter(string_split_regex(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
-def _sq_rouge(n: int) -> str:
+def _sq_rouge_of(n: int) -> str:
     hit = b.sq_clipped(b.sq_ngrams("p_tok", n), b.sq_ngrams("g_tok", n))
-    return f"round(CASE WHEN {hit} = 0 THEN 0.0 ELSE 2.0 * {hit} / (len(p_tok) + len(g_tok) - {2 * (n - 1)}) END, 6) AS rouge{n}"
+    return f"CASE WHEN {hit} = 0 THEN 0.0 ELSE 2.0 * {hit} / (len(p_tok) + len(g_tok) - {2 * (n - 1)}) END"
+
+
+def _sq_rouge(n: int) -> str:
+    return f"round({_sq_rouge_of(n)}, 6) AS rouge{n}"
 
 
 @query("rouge_n", sql(f"SELECT id, model, {_sq_rouge(1)}, {_sq_rouge(2)} FROM (SELECT id, model, {_SQ_RT.format('pred')} AS p_tok, {_SQ_RT.format('gold')} AS g_tok FROM sc)"))
@@ -484,7 +491,11 @@ def rouge_n(spark, d):
     return s.withColumns({c: F.round(c, 6) for c in ("rouge1", "rouge2")})
 
 
-@query("rouge_l")
+_SQ_ROUGE_TOKENS = f"rt AS (SELECT id, model, split, {_SQ_RT.format('pred')} AS p_tok, {_SQ_RT.format('gold')} AS g_tok FROM sc)"
+_SQ_ROUGE_L = f"CASE WHEN len(p_tok) + len(g_tok) = 0 THEN 0.0 ELSE 2.0 * ({b.sq_lcs('p_tok', 'g_tok')}) / (len(p_tok) + len(g_tok)) END"
+
+
+@query("rouge_l", sql(f"SELECT id, model, round({_SQ_ROUGE_L}, 6) AS rouge_l FROM rt", _SQ_ROUGE_TOKENS))
 def rouge_l(spark, d):
     return b.scored(spark, d).select("id", "model", F.round(metrics.rouge_l(F.col("pred"), F.col("gold"), unicode=True), 6).alias("rouge_l"))
 
@@ -498,7 +509,9 @@ def rouge_stemmed(spark, d):
     return s.withColumns({c: F.round(c, 6) for c in ("rouge1", "rouge2", "rouge_l")})
 
 
-@query("all_metrics")
+@query("all_metrics", sql(f"""SELECT m.*, bleu1, bleu2, bleu3, bleu4, rouge1, rouge2, rouge_l FROM (SELECT model, split, {_SQ_MEANS} FROM sc GROUP BY model, split) m
+JOIN (SELECT model, split, {', '.join(f'round(100 * avg({_sq_bleu(k)}), 4) AS bleu{k}' for k in range(1, 5))} FROM bl GROUP BY model, split) x USING (model, split)
+JOIN (SELECT model, split, round(100 * avg({_sq_rouge_of(1)}), 4) AS rouge1, round(100 * avg({_sq_rouge_of(2)}), 4) AS rouge2, round(100 * avg({_SQ_ROUGE_L}), 4) AS rouge_l FROM rt GROUP BY model, split) y USING (model, split)""", _sq_counts(4), _SQ_ROUGE_TOKENS))
 def all_metrics(spark, d):
     """Every metric of a model and split in one aggregate over one scan of the predictions."""
     p, g = F.col("pred"), F.col("gold")
