@@ -13,7 +13,7 @@ from .chunks import split_texts
 from .cross_split import cross_split_pairs, pairs_per_record
 from .mixing import mix
 from .packing import fill_report, pack
-from .personal_data import Finder, find_items, fit_finder, redact
+from .personal_data import find_items, fit_finder, propose, redact
 from .sentence_alignment import aligned_sentences
 from .tables import answers_in_context, contexts
 from .unicode_forms import lookalike_rows
@@ -170,17 +170,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(docs, read_table(spark, d, "mix_targets"))[1]
 
 
-def _finder(spark: SparkSession, d: str) -> tuple[DataFrame, Finder]:
-    docs = read_table(spark, d, "documents", "doc_id", "text")
-    return docs, fit_finder(docs, read_table(spark, d, "given_names", "given_name"))
-
-
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return find_items(*_finder(spark, d)).select("doc_id", "kind", "char_start")
+    names = read_table(spark, d, "given_names", "given_name")
+    proposals = propose(read_table(spark, d, "documents", "doc_id", "text"), names)
+    return find_items(proposals, fit_finder(proposals, names)).select("doc_id", "kind", "char_start")
 
 
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return redact(*_finder(spark, d))
+    docs, names = read_table(spark, d, "documents", "doc_id", "text"), read_table(spark, d, "given_names", "given_name")
+    return redact(docs, fit_finder(propose(docs, names), names))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
