@@ -208,9 +208,9 @@ def mix(
     share, cap = np.array([g["share"] for g in goals], float), np.array([g["cap"] for g in goals], float)
     known = F.col("source").isin(domains) if domains else F.lit(False)
     sized = materialize(
-        documents.select("doc_id", "source", token_count("text", folder).alias("n")).where("n > 0")
+        documents.select("doc_id", "source", token_count("text", folder).alias("n"))
         .withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(_BINS * _BINS))), "mix"
-    )
+    ).where("n > 0")  # only after writing, or the tokens would be counted for the filter as well
     hard = sized.where(known).select("doc_id", F.col("source").alias("domain"), "n", "u")
     stats = {r["domain"]: r for r in hard.groupBy("domain").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()}
     tokens = np.array([stats[d]["n"] if d in stats else 0 for d in domains], float)
