@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from .similarity import indel_ratio
+from .similarity import best_possible, indel_ratio
 
 # Endings in the order in which they are tried.
 TELUGU_ENDINGS = [
@@ -61,6 +61,7 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         self._bases: dict[str, str] = {}
+        self._pairs: dict[tuple[str, str], bool] = {}
 
     def base(self, word: str) -> str:
         """The base form of one word (memoized)."""
@@ -89,5 +90,11 @@ class Lexicon:
         return form.startswith(word) or word.startswith(form) or indel_ratio(word.lower(), form.lower()) > self.alike
 
     def equivalent(self, a: str, b: str) -> bool:
-        """Equal base forms, or spellings more alike than ``alike``."""
-        return self.base(a) == self.base(b) or indel_ratio(a.lower(), b.lower()) > self.alike
+        """Equal base forms, or spellings more alike than ``alike`` (memoized)."""
+        known = self._pairs.get((a, b))
+        if known is None:
+            if len(self._pairs) > 500_000:
+                self._pairs.clear()
+            longest = best_possible(len(a), len(b)) > self.alike
+            known = self._pairs[a, b] = self.base(a) == self.base(b) or longest and indel_ratio(a.lower(), b.lower()) > self.alike
+        return known

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -102,19 +103,30 @@ class WindowSearch:
         for w in words:
             starts.append(at)
             at += len(w) + 1
+        # Per word of the context: how many of the answer's words it is equivalent to. Prefix sums
+        # of these, and of where each base of the answer stands, judge a window in constant time.
+        same = self.lexicon.equivalent
+        kinds = {w: sum(same(w, x) for x in want_bases) for w in set(bases)}
+        alike = list(accumulate((kinds[w] for w in bases), initial=0))
+        needed = [list(accumulate((w == x for w in bases), initial=0)) for x in set(want_bases)]
+        possible = "" not in want_bases
+        low = target.lower()
         best: tuple[float, int, int] | None = None
         for i in range(len(words)):
-            for size in range(n, n + self.extra_words + 1):
-                if i + size > len(words) or size == 0:
-                    continue
-                window = " ".join(words[i : i + size])
-                meaning = self.meaning(bases[i : i + size], want_bases)
-                complete = set(want_bases) <= {b for b in bases[i : i + size] if b}
-                top = 100 * (0.4 * best_possible(len(window), len(target)) + 0.3 + 0.3 * meaning) + self.bonus * complete
+            for size in range(max(n, 1), min(n + self.extra_words, len(words) - i) + 1):
+                end = i + size
+                meaning = (alike[end] - alike[i]) / max(size, n) if n else 0.0
+                complete = possible and all(c[end] > c[i] for c in needed)
+                length = starts[end - 1] + len(words[end - 1]) - starts[i]
+                top = 100 * (0.4 * best_possible(length, len(target)) + 0.3 + 0.3 * meaning) + self.bonus * complete
                 if best is not None and top <= best[0]:
                     continue  # even the best spelling could not win
-                a, b = window.lower(), target.lower()
-                score = 100 * (0.4 * indel_ratio(a, b) + 0.3 * token_similarity(a, b) + 0.3 * meaning) + self.bonus * complete
+                window = " ".join(words[i:end]).lower()
+                ratio = indel_ratio(window, low)
+                top = 100 * (0.4 * ratio + 0.3 + 0.3 * meaning) + self.bonus * complete
+                if best is not None and top <= best[0]:
+                    continue  # nor could the best tokens
+                score = 100 * (0.4 * ratio + 0.3 * token_similarity(window, low) + 0.3 * meaning) + self.bonus * complete
                 if score > 0 and (best is None or score > best[0]):
                     best = (score, i, size)
         if best is None:
@@ -177,6 +189,10 @@ class WindowSearch:
 
 def realigned(df: DataFrame, context: str, answer: str, low: float = 45.0, compat: bool = False) -> DataFrame:
     """Add new_start, new_text, score and low (score below ``low``) by window search."""
+    # The search takes far longer than moving the rows does: spread them over all cores.
+    sc = df.sparkSession.sparkContext
+    df = df.repartition(max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
     @F.pandas_udf("struct<new_start:int,new_text:string,score:double>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         search = WindowSearch()
