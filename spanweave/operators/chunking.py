@@ -29,8 +29,8 @@ def windows(text: str, size: int = 500, overlap: int = 100) -> list[tuple[int, i
         at = nxt if at < nxt < end else end
 
 
-def split_contexts(df: DataFrame, key: str, context: str, size: int = 500, overlap: int = 100) -> DataFrame:
-    """(key, sub_idx from 1, sub_id, start_idx, text) for every context."""
+def with_windows(df: DataFrame, context: str, size: int = 500, overlap: int = 100) -> DataFrame:
+    """Add ``windows``, array of (start, end); contexts within ``size`` do not leave the JVM."""
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
@@ -38,9 +38,14 @@ def split_contexts(df: DataFrame, key: str, context: str, size: int = 500, overl
 
     c = F.col(context)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(c).alias("end")))
+    return df.withColumn("windows", F.when(c.isNotNull(), F.coalesce(cut(F.when(F.length(c) > size, c)), whole)))
+
+
+def split_contexts(df: DataFrame, key: str, context: str, size: int = 500, overlap: int = 100) -> DataFrame:
+    """(key, sub_idx from 1, sub_id, start_idx, text) for every context."""
     return (
-        df.where(c.isNotNull())
-        .select(key, c.alias("context"), F.posexplode(F.coalesce(cut(F.when(F.length(c) > size, c)), whole)).alias("i", "w"))
+        with_windows(df.where(F.col(context).isNotNull()).select(key, F.col(context).alias("context")), "context", size, overlap)
+        .select(key, "context", F.posexplode("windows").alias("i", "w"))
         .select(
             key, (F.col("i") + 1).alias("sub_idx"), F.concat(F.col(key), F.format_string("_%02d", F.col("i") + 1)).alias("sub_id"),
             F.col("w.start").alias("start_idx"), F.substring("context", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("text"),
@@ -48,31 +53,41 @@ def split_contexts(df: DataFrame, key: str, context: str, size: int = 500, overl
     )
 
 
-def place_answers(questions: DataFrame, subs: DataFrame, compat: bool = False) -> DataFrame:
+def place_answers(questions: DataFrame, contexts: DataFrame, size: int = 500, overlap: int = 100, compat: bool = False) -> DataFrame:
     """The sub-context of each question, and the answer's start in it.
 
-    ``questions``: id, context_id, is_impossible, answer_text, answer_start. Impossible ones go
-    to the first sub-context. Others go to the closest one that holds the answer: the nearest
-    start, then its successor, then its predecessor, then the first of all. With ``compat``
-    nearness is measured from the running sum of lengths instead of the true start. Questions
-    without text or start are left out; lost ones (held nowhere) have a null ``sub_id``.
-    """
-    from pyspark.sql import Window
+    ``questions``: id, context_id, is_impossible, answer_text, answer_start; ``contexts``:
+    context_id, context. Impossible questions go to the first sub-context. Others go to the
+    closest one that holds the answer: the nearest start, then its successor, then its
+    predecessor, then the first of all. With ``compat`` nearness is measured from the running
+    sum of lengths instead of the true start. Questions without text or start are left out;
+    lost ones (held nowhere) have a null ``sub_id``.
 
+    Each question meets its context once, not every window's text; windows beyond the three
+    nearest are looked at only where those do not hold the answer.
+    """
     q = questions.where("is_impossible or (answer_text is not null and answer_start is not null)")
-    pos = F.col("start_idx")
+    cut = with_windows(contexts.where("context is not null").select("context_id", "context"), "context", size, overlap)
     if compat:
-        run = Window.partitionBy("context_id").orderBy("sub_idx").rowsBetween(Window.unboundedPreceding, -1)
-        subs = subs.withColumn("start_idx", F.coalesce(F.sum(F.length("text")).over(run), F.lit(0)).cast("int"))
-    j = q.join(subs.select("context_id", "sub_idx", "sub_id", "start_idx", F.col("text").alias("sub_text")), "context_id")
-    hit = F.instr(F.col("sub_text"), F.col("answer_text"))
-    closest = F.min(F.struct(F.abs(F.col("answer_start") - pos), F.col("sub_idx"))).over(Window.partitionBy("id"))
-    near = closest["sub_idx"]
-    rank = F.when(F.col("sub_idx") == near, 0).when(F.col("sub_idx") == near + 1, 1).when(F.col("sub_idx") == near - 1, 2).otherwise(3)
-    ranked = j.withColumn("hit", hit).withColumn("rank", rank)
-    usable = F.when(F.col("is_impossible"), F.col("sub_idx") == 1).otherwise(F.col("hit") > 0)
-    best = F.min(F.when(usable, F.struct("rank", "sub_idx", "sub_id", (F.col("hit") - 1).alias("start"))))
-    return ranked.groupBy("id", "context_id", "is_impossible").agg(best.alias("b")).select(
-        "id", "context_id", "is_impossible", F.col("b.sub_id").alias("sub_id"),
-        F.when(~F.col("is_impossible"), F.col("b.start")).alias("answer_start"),
+        sums = F.aggregate("windows", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, w: F.struct(
+            (s["at"] + w["end"] - w["start"]).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+        cut = cut.withColumn("places", sums)
+    else:
+        cut = cut.withColumn("places", F.col("windows.start"))
+    near = F.array_min(F.transform("places", lambda p, i: F.struct(F.abs(F.col("answer_start") - p).alias("d"), i.alias("i"))))["i"]
+    j = q.join(cut, "context_id").withColumn("near", F.when(F.col("is_impossible"), 0).otherwise(near))
+
+    def hit(i):
+        w = F.get("windows", i)
+        return F.instr(F.substring(F.col("context"), w["start"] + 1, w["end"] - w["start"]), F.col("answer_text"))
+
+    at = F.when(F.col("is_impossible"), F.lit(0))
+    for i in (F.col("near"), F.col("near") + 1, F.col("near") - 1):
+        at = at.when((i >= 0) & (hit(i) > 0), i)
+    anywhere = F.filter(F.sequence(F.lit(0), F.size("windows") - 1), lambda i: hit(i) > 0)
+    at = at.when(F.contains("context", "answer_text"), F.get(anywhere, F.lit(0)))
+    j = j.withColumn("at", at)
+    return j.select(
+        "id", "context_id", "is_impossible", F.when(F.col("at").isNotNull(), F.concat("context_id", F.format_string("_%02d", F.col("at") + 1))).alias("sub_id"),
+        F.when(~F.col("is_impossible") & F.col("at").isNotNull(), hit(F.col("at")) - 1).alias("answer_start"),
     )

@@ -173,7 +173,11 @@ def node_table(records: DataFrame) -> DataFrame:
 
 
 def flat_tables(nodes: DataFrame) -> dict[str, DataFrame]:
-    """The four related tables; (record_id, node) is the key and (record_id, parent) the foreign key."""
+    """The four related tables; (record_id, node) is the key and (record_id, parent) the foreign key.
+
+    Where more than one of them is used, give a written node table (``session.materialize``), so
+    that the payloads are parsed once.
+    """
     def of(level: str, *columns: str) -> DataFrame:
         return nodes.where(F.col("level") == level).select("record_id", "node", "parent", "position", *columns)
 

@@ -337,12 +337,12 @@ pl AS (SELECT id, context_id, is_impossible, min({'r': r, 'i': idx, 's': sub_id,
 
 @query("place_answers", _recursive("SELECT id, context_id, is_impossible, m.s AS sub_id, CASE WHEN NOT is_impossible THEN m.h END AS answer_start FROM pl WHERE m IS NOT NULL", *_PLACED))
 def place_answers(spark, d):
-    return chunking.place_answers(_first(spark, d), _subs(spark, d)).where("sub_id is not null")
+    return chunking.place_answers(_first(spark, d), b.paragraphs(spark, d).select("context_id", "context")).where("sub_id is not null")
 
 
 @query("lost_answers", _recursive("SELECT id, context_id FROM pl WHERE m IS NULL", *_PLACED))
 def lost_answers(spark, d):
-    return chunking.place_answers(_first(spark, d), _subs(spark, d)).where("sub_id is null").select("id", "context_id")
+    return chunking.place_answers(_first(spark, d), b.paragraphs(spark, d).select("context_id", "context")).where("sub_id is null").select("id", "context_id")
 
 
 # Scores.
