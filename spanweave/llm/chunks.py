@@ -22,44 +22,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 16
-_STOPS = np.array([ord(c) for c in ".?!।…"], np.uint32)
-_CLOSERS = np.array([ord(c) for c in "\"'”’»)]}"], np.uint32)
-_CLAUSE = np.array([ord(c) for c in ",;:–—"], np.uint32)
-_BLANKS = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+# Classes of characters, as bits of a table; characters beyond it have none.
+_BLANK, _NEWLINE, _COMBINING, _VIRAMA, _STOP, _CLOSER, _CLAUSE = (1 << k for k in range(7))
 
 
-def _combining_table() -> np.ndarray:
+def _class_table() -> np.ndarray:
     import unicodedata
 
-    table = np.zeros(0x3100, bool)
-    for c in range(len(table)):
-        if unicodedata.category(chr(c))[0] == "M":
-            table[c] = True
-    table[[0x200C, 0x200D, 0x094D, 0x0C4D]] = True
+    table = np.zeros(0x3101, np.uint8)
+    marks = [c for c in range(0x300, 0x3100) if unicodedata.category(chr(c))[0] == "M"]
+    members = {
+        _BLANK: [*range(0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000],
+        _NEWLINE: [10, 13], _COMBINING: [*marks, 0x200C, 0x200D, 0x094D, 0x0C4D],
+        _VIRAMA: [0x94D, 0xC4D, 0xCCD, 0xBCD, 0xD4D, 0x200D],
+        _STOP: map(ord, ".?!।…"), _CLOSER: map(ord, "\"'”’»)]}"), _CLAUSE: map(ord, ",;:–—"),
+    }
+    for bit, codes in members.items():
+        table[np.array(list(codes))] |= bit
     return table
 
 
-_COMBINING = _combining_table()
-_VIRAMAS = np.array([0x94D, 0xC4D, 0xCCD, 0xBCD, 0xD4D, 0x200D], np.uint32)
-
-
-def _is_in(codes: np.ndarray, few: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(codes), bool)
-    for c in few:
-        out |= codes == c
-    return out
+_CLASSES = _class_table()
 
 
 def boundary_ranks(codes: np.ndarray) -> np.ndarray:
     """Rank of a cut before each character: 5 after a blank line, 4 after a line, 3 after a
     sentence, 2 after a clause, 1 after a blank, 0 within a word, -1 within a character cluster."""
-    n = len(codes)
-    blank = (codes <= 0x20) | (codes == 0xA0) | ((codes >= 0x1680) & _is_in(codes, _BLANKS))
-    newline = (codes == 10) | (codes == 13)
-    rank = np.zeros(n, np.int8)
-    combining = (codes >= 0x300) & (codes < len(_COMBINING)) & _COMBINING[np.minimum(codes, len(_COMBINING) - 1)]
-    rank[combining] = -1
-    rank[1:][_is_in(codes[:-1], _VIRAMAS)] = -1
+    kind = _CLASSES[np.minimum(codes, len(_CLASSES) - 1)]
+    blank, newline = (kind & _BLANK) > 0, (kind & _NEWLINE) > 0
+    rank = np.zeros(len(codes), np.int8)
+    rank[(kind & _COMBINING) > 0] = -1
+    rank[1:][(kind[:-1] & _VIRAMA) > 0] = -1
     # A cut stands after the last blank of a run of blanks.
     after = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     if len(after):
@@ -69,10 +62,10 @@ def boundary_ranks(codes: np.ndarray) -> np.ndarray:
         after, before = after[ok], starts[last[ok]]  # the last character that is not blank
         lines = np.cumsum(newline & ~((codes == 10) & (np.roll(codes, 1) == 13)))
         breaks = lines[after - 1] - lines[before]
-        end = codes[before]
-        closed = _is_in(end, _CLOSERS) & (before > 0)
-        end = np.where(closed, codes[np.maximum(before - 1, 0)], end)
-        r = np.where(_is_in(end, _STOPS), 3, np.where(_is_in(codes[before], _CLAUSE), 2, 1))
+        end = kind[before]
+        closed = ((end & _CLOSER) > 0) & (before > 0)
+        stop = (np.where(closed, kind[np.maximum(before - 1, 0)], end) & _STOP) > 0
+        r = np.where(stop, 3, np.where((end & _CLAUSE) > 0, 2, 1))
         rank[after] = np.where(breaks >= 2, 5, np.where(breaks == 1, 4, r))
     return rank
 
@@ -125,32 +118,47 @@ def cut_points(rank: np.ndarray, hashed: np.ndarray, landmark: np.ndarray, least
     return cuts
 
 
-def split_text(text: str, limit: int = 500, overlap: int = 100, density: int = 32) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of one text."""
-    return _split_many([text], limit, overlap, density)[0]
-
+def piece_ends(texts: list[str], limit: int, overlap: int, density: int) -> list[np.ndarray]:
+    """Ends of the pieces of texts longer than ``limit``.
 
-def _split_many(texts: list[str], limit: int, overlap: int, density: int) -> list[list[tuple[int, int]]]:
+    Hashes and ranks are computed for all texts at once, with ``WINDOW`` zeros between them: a
+    zero adds nothing to a hash, as if the text before were not there.
+    """
     most = limit - overlap
-    least = max(1, most // 2)
-    out: list[list[tuple[int, int]]] = []
+    gap = "\0" * WINDOW
+    codes = np.frombuffer(gap.join(["", *texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    hashed, rank = rolling_hash(codes), boundary_ranks(codes)
+    landmark = np.flatnonzero(hashed % np.uint64(density) == 0)
+    out, at = [], WINDOW
     for text in texts:
-        n = len(text)
-        if n <= limit:
-            out.append([(0, n)])
-            continue
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        rank, hashed = boundary_ranks(codes), rolling_hash(codes)
-        landmark = np.flatnonzero(hashed % np.uint64(density) == 0)
-        ends = cut_points(rank, hashed, landmark, least, most)
-        pieces, start = [], 0
-        for end in ends:
-            pieces.append((max(0, start - overlap) if start else 0, end))
-            start = end
-        out.append(pieces)
+        end = at + len(text)
+        marks = landmark[np.searchsorted(landmark, at) : np.searchsorted(landmark, end)] - at
+        out.append(np.array(cut_points(rank[at:end], hashed[at:end], marks, max(1, most // 2), most), np.int32))
+        at = end + WINDOW
     return out
 
 
+def split_text(text: str, limit: int = 500, overlap: int = 100, density: int = 32) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of one text."""
+    if len(text) <= limit:
+        return [(0, len(text))]
+    ends = piece_ends([text], limit, overlap, density)[0].tolist()
+    return [(max(0, start - overlap) if start else 0, end) for start, end in zip([0, *ends], ends)]
+
+
+def _in_groups(texts: list[str], size: int = 400_000) -> Iterator[list[str]]:
+    """Runs of texts of about ``size`` characters together."""
+    group, n = [], 0
+    for t in texts:
+        group.append(t)
+        n += len(t)
+        if n >= size:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
+
+
 def split_texts(df: DataFrame, key: str, text: str, limit: int = 500, overlap: int = 100, density: int = 32) -> DataFrame:
     """(key, piece_no, start, length, piece) for every text of ``df``.
 
@@ -161,20 +169,22 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = 500, overlap: i
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<int>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            out = []
-            for t in s:
-                out.append(None if t is None else [{"start": a, "end": b} for a, b in _split_many([t], limit, overlap, density)[0]])
-            yield pd.Series(out, dtype=object)
+            out = np.full(len(s), None, object)
+            at = np.flatnonzero(s.notna().to_numpy())
+            ends = [e for group in _in_groups(s.iloc[at].tolist()) for e in piece_ends(group, limit, overlap, density)]
+            for i, e in zip(at, ends):
+                out[i] = e
+            yield pd.Series(out)
 
     t = F.col(text)
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(t).alias("end")))
+    ends = F.coalesce(cut(F.when(F.length(t) > limit, t)), F.array(F.length(t)))
+    before = F.coalesce(F.get("ends", F.col("piece_no") - 1), F.lit(0))
     return (
-        df.where(t.isNotNull())
-        .select(key, t.alias("text"), F.coalesce(pieces(F.when(F.length(t) > limit, t)), whole).alias("pieces"))
-        .select(key, "text", F.posexplode("pieces").alias("piece_no", "p"))
-        .select(key, "piece_no", F.col("p.start").alias("start"), (F.col("p.end") - F.col("p.start")).alias("length"),
-                F.substring("text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("piece"))
+        df.where(t.isNotNull()).select(key, t.alias("text"), ends.alias("ends"))
+        .select(key, "text", "ends", F.posexplode("ends").alias("piece_no", "end"))
+        .select(key, "text", "piece_no", "end", F.greatest(before - overlap, F.lit(0)).alias("start"))
+        .select(key, "piece_no", "start", (F.col("end") - F.col("start")).alias("length"), F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("piece"))
     )
