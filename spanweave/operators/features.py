@@ -20,7 +20,7 @@ def word_tokenizer(text: str) -> list[tuple[int, int, int]]:
     """(id, start, end) of words and single signs; ids are hashes above the special ones."""
     import zlib
 
-    return [(3 + zlib.crc32(m.group(0).encode()) % 50_000, m.start(), m.end()) for m in re.finditer(r"\w+|[^\w\s]", text)]
+    return [(3 + zlib.crc32(m.group(0).encode("utf-8", "surrogatepass")) % 2_000_000_000, m.start(), m.end()) for m in re.finditer(r"\w+|[^\w\s]", text)]
 
 
 _OFFSETS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.lexicon import Lexicon
+from ..functions.lexicon import TELUGU_ENDINGS, TELUGU_MEANINGS, TELUGU_VARIATIONS, Lexicon
 from ..functions.similarity import indel_ratio, sequence_ratio, token_similarity
 from ..operators import decode, features, serving
 from ..session import read_table
@@ -122,7 +122,7 @@ def _sq_tokens_of(name: str, table: str, key: str, text: str, most: int | None =
         f"{name}_l AS (SELECT {key}, regexp_extract_all({text}, '[{_WS}]+|{_PIECE}') AS l FROM {table} WHERE {text} IS NOT NULL), "
         f"{name}_u AS (SELECT {key}, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM {name}_l), "
         f"{name}_s AS (SELECT {key}, i, t, coalesce(sum(length(t)) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {name}_u), "
-        f"{name} AS (SELECT * FROM (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS k, s, s + length(t) AS e FROM {name}_s WHERE NOT regexp_full_match(t, '[{_WS}]+')){limit})"
+        f"{name} AS (SELECT * FROM (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS k, CAST(s AS BIGINT) AS s, CAST(s AS BIGINT) + length(t) AS e, t FROM {name}_s WHERE NOT regexp_full_match(t, '[{_WS}]+')){limit})"
     )
 
 
@@ -217,7 +217,11 @@ def _shared_word_model(pdf):
     return scores, scores
 
 
-@query("serve_one")
+@query("serve_one", sql(f"""SELECT rq.id, question, CASE WHEN question <> '' AND context <> '' THEN CASE WHEN coalesce(m.m.s, 0) > 0 THEN substr(context, m.m.s + 1, m.m.e - m.m.s) ELSE 'No answer found in the given context.' END END AS answer,
+CASE WHEN question = '' OR context = '' THEN 'Both question and context are required.' END AS error FROM rq LEFT JOIN
+(SELECT c.id, min({{'s': c.s, 'e': c.e}}) AS m FROM rc c JOIN qx USING (id, t) JOIN (SELECT id, count(*) AS n FROM rt GROUP BY id) USING (id) WHERE c.k < greatest(1, 509 - n) GROUP BY c.id) m USING (id)""",
+    "rq AS (SELECT id, trim(coalesce(question, '')) AS question, trim(coalesce(context, '')) AS context FROM ex)", _sq_tokens_of("rc", "rq", "id", "context"), _sq_tokens_of("rt", "rq", "id", "question", 508),
+    "qx AS (SELECT DISTINCT id, t FROM rt)"))
 def serve_one(spark, d):
     """The online path: the same plan over request rows; requests with an empty side get an error."""
     return serving.respond(b.examples(spark, d).select("id", "question", "context"), _shared_word_model)
@@ -225,7 +229,16 @@ def serve_one(spark, d):
 
 # Similarity and lexicon.
 
-@query("base_words")
+def _rows(table: dict[str, list[str]]) -> str:
+    pairs = [(k, f) for k, forms in table.items() for f in forms]
+    return ", ".join(f"({i}, '{k}', '{f}')" for i, (k, f) in enumerate(pairs))
+
+
+@query("base_words", sql(f"""SELECT word, coalesce((SELECT base FROM vr WHERE word = form OR starts_with(word, base) ORDER BY n LIMIT 1), (SELECT base FROM mg WHERE form = word ORDER BY n LIMIT 1),
+(SELECT base FROM mg WHERE starts_with(form, word) OR starts_with(word, form) OR (2.0 * least(length(word), length(form)) / (length(word) + length(form)) > 0.8 AND {b.sq_indel('lower(word)', 'lower(form)')} > 0.8) ORDER BY n DESC LIMIT 1),
+(SELECT substr(word, 1, length(word) - length(ending)) FROM en WHERE ends_with(word, ending) ORDER BY n LIMIT 1), word) AS base FROM wd""",
+    f"wd AS (SELECT DISTINCT unnest({b.sq_tokens('text')}) AS word FROM a WHERE text IS NOT NULL)", f"vr AS (SELECT * FROM (VALUES {_rows(TELUGU_VARIATIONS)}) AS t(n, base, form))",
+    f"mg AS (SELECT * FROM (VALUES {_rows(TELUGU_MEANINGS)}) AS t(n, base, form))", "en AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{e}')" for i, e in enumerate(TELUGU_ENDINGS)) + ") AS t(n, ending))"))
 def base_words(spark, d):
     """Base forms of the distinct words of all answers: each word once."""
     words = b.answers(spark, d).select(F.explode(tx.tokens(F.coalesce("text", F.lit("")))).alias("word")).distinct()
@@ -284,10 +297,19 @@ def _lexicon_engine(spark, d):
 
     # The lexicon is a fixed table of a hundred-odd rows.
     rows = read_table(spark, d, "lexicon", "lex_id", "en_term", "te_term").where("te_term is not null").orderBy("lex_id").select("en_term", "te_term").collect()
-    return word_for_word({r[0]: r[1] for r in rows})
+    return word_for_word({r[0].lower(): r[1] for r in rows if r[0]})
+
+
+# The lexicon as a map; of terms that differ in case only, the later one counts.
+_LX = "lx AS (SELECT map(list(k), list(v)) AS m FROM (SELECT lower(en_term) AS k, arg_max(te_term, lex_id) AS v FROM lexicon WHERE te_term IS NOT NULL AND en_term IS NOT NULL GROUP BY 1))"
+
+
+def _sq_translated(x: str) -> str:
+    letters = "\\p{L}\\p{Nl}\\p{No}"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '[{letters}]+|[^{letters}]+'), lambda w: coalesce(m[lower(w)], w)), '')"
 
 
-@query("translated_questions")
+@query("translated_questions", sql(f"SELECT id, {_sq_translated('question')} AS translated FROM q, lx WHERE question IS NOT NULL", _LX))
 def translated_questions(spark, d):
     """Questions through a word-for-word engine made of the lexicon: distinct strings once, joined back."""
     from ..operators.translate import translate_strings
@@ -296,7 +318,9 @@ def translated_questions(spark, d):
     return q.join(translate_strings(q, "question", _lexicon_engine(spark, d)), "question").select("id", "translated")
 
 
-@query("translated_dataset")
+@query("translated_dataset", sql(f"""SELECT q.id, {_sq_translated('p.title')} AS title, {_sq_translated('q.question')} AS question, md5({_sq_translated('p.context')}) AS context_hash,
+(SELECT string_agg({_sq_translated('a.text')} || '@' || coalesce(a.answer_start::VARCHAR, ''), '|' ORDER BY answer_no, answer_id) FROM a, lx WHERE a.qa_id = q.id AND NOT is_plausible AND a.text IS NOT NULL) AS answers
+FROM q JOIN p ON p.context_id = q.context_id, lx WHERE p.orig_context_id IS NULL""", _LX))
 def translated_dataset(spark, d):
     """Titles, contexts, questions and answers translated independently; offsets kept from the original."""
     from ..operators.translate import translate_flat
@@ -307,7 +331,8 @@ def translated_dataset(spark, d):
         F.transform(F.array_sort(F.collect_list(F.struct("answer_no", "answer_id", "text", "answer_start"))), lambda x: F.struct(x["text"].alias("text"), x["answer_start"].alias("answer_start"))).alias("answers"))
     flat = q.join(p, "context_id").join(a, "id", "left")
     out = translate_flat(flat, ["title", "context", "question"], ["answers"], _lexicon_engine(spark, d))
-    return out.select("id", "title", "question", F.md5("context").alias("context_hash"), F.to_json("answers").alias("answers"))
+    shown = F.transform(F.filter("answers", lambda x: x["text"].isNotNull()), lambda x: F.concat(x["text"], F.lit("@"), F.coalesce(x["answer_start"].cast("string"), F.lit(""))))
+    return out.select("id", "title", "question", F.md5("context").alias("context_hash"), F.nullif(F.array_join(shown, "|"), F.lit("")).alias("answers"))
 
 
 @query("translation_progress", sql("""SELECT count(DISTINCT p.context_id) FILTER (WHERE p.orig_context_id IS NULL) AS originals, count(DISTINCT p.context_id) FILTER (WHERE p.orig_context_id IS NOT NULL) AS translations,
