@@ -246,8 +246,8 @@ class Finder:
 
     def score(self, kind: str, word: str, side: str, own: float | None = None) -> float:
         """Share of labelled items among the candidates beside ``word``, without the row's ``own`` label."""
-        good, n = self.context[kind].get(side + word, (0.0, 0.0))
-        if own is not None:
+        good, n = self.context.get(kind, {}).get(side + word, (0.0, 0.0))
+        if own is not None and n >= 1:  # an unseen word does not count the row's label either
             good, n = good - own, n - 1
         return (good + 0.2) / (n + 1.0)
 

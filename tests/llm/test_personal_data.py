@@ -1,4 +1,4 @@
-from spanweave.llm.personal_data import candidates, find_items, fit_finder, propose, redact
+from spanweave.llm.personal_data import Finder, candidates, find_items, fit_finder, propose, redact
 
 
 def test_late_telugu_names_are_proposed():
@@ -39,3 +39,10 @@ def test_items_are_replaced_and_all_else_kept(spark):
                 kept.append(t[at : r["char_start"]] + f"[{r['kind'].upper()}]")
                 at = r["char_end"]
             assert "".join(kept) + t[at:] == out[k]
+
+
+def test_unseen_word_has_no_label_to_take_out():
+    finder = Finder(frozenset())
+    finder.context["person"] = {"<near": (3.0, 4.0)}
+    assert finder.score("person", "far", "<", 1) == finder.score("person", "far", "<") == 0.2
+    assert finder.score("person", "near", "<", 1) == (2.0 + 0.2) / 4
