@@ -12,9 +12,9 @@ the trees.
 
 Candidates are proposed once, in one pass over the texts, and written. Context words, common
 words and learned names are counted over the candidates of all texts; only the trees are fitted
-on those of a bounded sample (``TRAINING_TEXTS``). Of context words and learned names the
-``KNOWN_WORDS`` most frequent ones are kept, which bounds what travels to the workers; further
-ones count as unseen.
+on those of a bounded sample (``TRAINING_TEXTS``). The counts of all words stay in tables on the
+cluster, whatever their number: they are joined with the words of each block of texts, and a
+block's candidates are judged with the entries of its own words.
 
 Defined cases: null and empty texts have no items; an item starts at its first character, a
 person at the first letter of the name without title. Offsets are code points.
@@ -26,9 +26,11 @@ import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +39,10 @@ from .boosting import Boosted, best_threshold, fit_boosted
 
 #: The trees are fitted on the candidates of at most about this many texts.
 TRAINING_TEXTS = 6000
-#: Context words of a kind, and learned names, that a finder knows at most.
-KNOWN_WORDS = 200_000
+#: With so many candidates a block of texts, whose words are looked up together, is closed.
+BLOCK = 20_000
 KINDS = ("email", "phone", "id_number", "address", "person")
+_SUMS = "kind string, word string, good double, n double"
 
 _UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 _CAP = f"[{_UP}][{_LOW}]+(?:['’-][{_UP}{_LOW}]+)*"
@@ -214,7 +217,11 @@ def _number(text: str, s: int, e: int, kind: str, shape: int) -> tuple:
 
 
 class Finder:
-    """Fitted models with the context scores they use."""
+    """Fitted models, and what is known about words.
+
+    The tables of all words are ``words``; ``context``, ``common`` and ``learned`` are what they
+    say about the words at hand (``knowing``).
+    """
 
     def __init__(self, names: frozenset[str]):
         self.names = names
@@ -222,6 +229,26 @@ class Finder:
         self.common: dict[str, float] = {}
         self.learned: frozenset[str] = frozenset()
         self.models: dict[str, Boosted] = {}
+        self.words: DataFrame | None = None
+        self.fitted: tuple[DataFrame, DataFrame] | None = None  # proposals and their words
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"words": None, "fitted": None}
+
+    def knowing(self, rows: pd.DataFrame) -> Finder:
+        """With the same models, a finder that knows the words of ``rows`` (kind, word, good, n).
+
+        Of kind ``name``, ``good`` is how common the word is, ``n`` whether it is a learned name.
+        """
+        out = Finder(self.names)
+        out.models = self.models
+        for kind, part in rows.groupby("kind"):
+            if kind == "name":
+                out.common = dict(zip(part["word"], part["good"]))
+                out.learned = frozenset(part["word"][part["n"] > 0])
+            else:
+                out.context[kind] = dict(zip(part["word"], zip(part["good"], part["n"])))
+        return out
 
     def _fit_kind(self, kind: str, mine: list[tuple]) -> Boosted:
         rng = np.random.default_rng(7)
@@ -279,10 +306,6 @@ class Finder:
                 p[at] = np.where(q > model.threshold, q, 0.0)
         return p
 
-    def find_batch(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
-        """Per text the selected, non-overlapping items (kind, start, end) in order."""
-        return self.choose([candidates(t, self.names) if t else [] for t in texts])
-
     def choose(self, proposed: list[list[tuple]]) -> list[list[tuple[str, int, int]]]:
         """Of the candidates of each text the selected, non-overlapping items in order."""
         rows, owner = [], []
@@ -305,120 +328,177 @@ class Finder:
 
 
 def propose(documents: DataFrame, names: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, train, found): the pickled candidates of every text that has some.
+    """(key, block, train, found): the pickled candidates of every text that has some.
 
     ``names`` is the small table of given names (column given_name), fixed in size; ``train``
     marks the sample on which the trees are fitted.
     """
-    known = _names(names)
+    return _propose(documents, _names(names), text, key, False)
+
+
+def _propose(documents: DataFrame, known: frozenset[str], text: str, key: str, keep: bool) -> DataFrame:
+    """With ``keep`` all rows and their text; ``found`` is null where there are no candidates.
+
+    A block has texts of one task, sampled ones (odd numbers) apart from the others. It ends when
+    it has ``BLOCK`` candidates (a kept text counts by its length too), so that what is held at
+    once has a bound that does not depend on the rows.
+    """
     part = min(1.0, TRAINING_TEXTS / max(documents.count(), 1))
     train = F.pmod(F.xxhash64(key, F.lit("train")), F.lit(1_000_000)) < int(part * 1_000_000)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId() << 32
+        number, size = [0, 1], [0, 0]
         for pdf in batches:
-            rows = [(k, t, pickle.dumps(found, 5)) for k, t, x in zip(pdf["key"], pdf["train"], pdf["text"]) if x and (found := candidates(x, known))]
-            yield pd.DataFrame(rows, columns=["key", "train", "found"])
+            rows = []
+            for k, t, x in zip(pdf["key"], map(int, pdf["train"]), pdf["text"]):
+                found = candidates(x, known) if x else []
+                if found or keep:
+                    if size[t] >= BLOCK:
+                        number[t], size[t] = number[t] + 2, 0
+                    if found:
+                        size[t] += len(found) + keep * len(x) // 500
+                    rows.append((k, task + number[t], bool(t), pickle.dumps(found, 5) if found else None, *([x] if keep else [])))
+            yield pd.DataFrame(rows, columns=["key", "block", "train", "found", *(["text"] if keep else [])])
 
     kind = documents.schema[key].dataType.simpleString()
     texts = documents.select(F.col(key).alias("key"), train.alias("train"), F.col(text).alias("text"))
-    return materialize(texts.mapInPandas(run, f"key {kind}, train boolean, found binary"), "proposals")
+    return materialize(texts.mapInPandas(run, f"key {kind}, block long, train boolean, found binary" + ", text string" * keep), "proposals")
 
 
 def _names(names: DataFrame) -> frozenset[str]:
     return frozenset(r[0] for r in names.select("given_name").where("given_name is not null").collect())
 
 
-def _tally(proposals: DataFrame, count) -> pd.DataFrame:
-    """Sums (kind, word, good, n) of what ``count`` yields for a task's candidates: (kind, word) -> [good, n]."""
+def _add(sums: dict, kind: str, word: str, good: float, n: float = 1.0) -> None:
+    entry = sums.setdefault((kind, word), [0.0, 0.0])
+    entry[0] += good
+    entry[1] += n
+
+
+def _block_words(proposals: DataFrame) -> DataFrame:
+    """(block, kind, word, good, n): the words beside each block's candidates with sums of the labels, and its names (kind ``name``)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, str], list[float]] = {}
         for pdf in batches:
-            count([pickle.loads(b) for b in pdf["found"]], sums)
-        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["kind", "word", "good", "n"])
+            blocks: dict[int, dict] = defaultdict(dict)
+            for block, b in zip(pdf["block"], pdf["found"]):
+                sums = blocks[block]
+                for r in pickle.loads(b):
+                    for word in ("<" + r[4], ">" + r[5]):
+                        _add(sums, r[0], word, r[6] or 0.0, r[6] is not None)
+                    for word in r[7:9]:
+                        _add(sums, "name", word, 0.0, 0.0)
+            yield pd.DataFrame([(block, *k, *v) for block, sums in blocks.items() for k, v in sums.items()], columns=["block", "kind", "word", "good", "n"])
 
-    schema = "kind string, word string, good double, n double"
-    total = materialize(proposals.select("found").mapInPandas(run, schema).groupBy("kind", "word").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "tally")
-    return pd.concat([total.where(F.col("kind") == k).orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toPandas() for k in KINDS])
+    return materialize(proposals.select("block", "found").mapInPandas(run, f"block long, {_SUMS}"), "words")
 
 
-def _add(sums: dict, kind: str, word: str, good: float) -> None:
-    entry = sums.setdefault((kind, word), [0.0, 0.0])
-    entry[0] += good
-    entry[1] += 1
+def _known(own: DataFrame, *tables: DataFrame) -> DataFrame:
+    """(block, kind, word, good, n): what the tables (kind, word, good, n) say about each block's own words."""
+    return own.select("block", "kind", "word").join(reduce(DataFrame.unionByName, tables), ["kind", "word"])
+
 
+def _by_block(proposals: DataFrame, known: DataFrame, finder: Finder, use, schema: str) -> DataFrame:
+    """What ``use`` makes of the texts of each block, with the finder that knows the block's words."""
+    def run(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        return use(finder.knowing(words), texts)
 
-def _contexts(texts: list[list[tuple]], sums: dict) -> None:
-    for found in texts:
-        for r in found:
-            if r[6] is not None:
-                _add(sums, r[0], "<" + r[4], r[6])
-                _add(sums, r[0], ">" + r[5], r[6])
+    return proposals.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(run, schema)
+
+
+def _name_sums(proposals: DataFrame, known: DataFrame, finder: Finder, count) -> DataFrame:
+    """(word, good, n): sums of what ``count`` adds for the names of all persons."""
+    def use(knowing: Finder, texts: pd.DataFrame) -> pd.DataFrame:
+        sums: dict[tuple[str, str], list[float]] = {}
+        rows = [r for b in texts["found"] for r in pickle.loads(b) if r[0] == "person"]
+        count(knowing, rows, sums)
+        return pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["kind", "word", "good", "n"])
+
+    sums = _by_block(proposals.select("block", "found"), known, finder, use, _SUMS)
+    return sums.groupBy("word").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+
+
+def _common(finder: Finder, rows: list[tuple], sums: dict) -> None:
+    for r in rows:
+        if r[6] == 0 and finder.nearby("person", r) < 0.3:
+            for w in r[7:9]:
+                _add(sums, "name", w, 0.0)
+
+
+def _votes(finder: Finder, rows: list[tuple], sums: dict) -> None:
+    for r, q in zip(rows, finder.models["person"].probability(finder.features("person", rows))):
+        for w in {r[7], r[8]} if r[3][7] else {r[7]}:
+            _add(sums, "name", w, float(q))
 
 
 def fit_finder(proposals: DataFrame, names: DataFrame) -> Finder:
     """The finder of a corpus from its ``propose``d candidates."""
     finder = Finder(_names(names))
-    for kind, rows in _tally(proposals, _contexts).groupby("kind"):
-        finder.context[kind] = {w: (g, n) for w, g, n in zip(rows["word"], rows["good"], rows["n"])}
+    own = _block_words(proposals)
+    context = materialize(
+        own.where("kind != 'name'").groupBy("kind", "word").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).where("n > 0"), "context")
     size = proposals.agg(F.count("*").alias("n"), F.count_if("train").alias("t")).first()
     part = size["t"] / max(size["n"], 1)
 
-    def common(texts: list[list[tuple]], sums: dict) -> None:
-        for found in texts:
-            for r in found:
-                if r[0] == "person" and r[6] == 0 and finder.nearby("person", r) < 0.3:
-                    for w in r[7:9]:
-                        _add(sums, "person", w, 0.0)
-
     # Counts in proportion to the sample, so that they mean the same at every size.
-    words = _tally(proposals, common)
-    finder.common = {w: float(np.log1p(n * part)) for w, n in zip(words["word"], words["n"]) if n * part > 1}
+    words = _name_sums(proposals, _known(own, context), finder, _common).where(F.col("n") * part > 1)
+    common = materialize(words.select(F.lit("name").alias("kind"), "word", F.log1p(F.col("n") * part).alias("good"), F.lit(0.0).alias("n")), "common")
+
     sample: dict[str, list[tuple]] = defaultdict(list)
     for b in proposals.where("train").select("found").toLocalIterator():
         for r in pickle.loads(b["found"]):
             sample[r[0]].append(r)
-    for kind in KINDS:
-        finder.models[kind] = finder._fit_kind(kind, sample[kind])
 
-    def votes(texts: list[list[tuple]], sums: dict) -> None:
-        rows = [r for found in texts for r in found if r[0] == "person"]
-        for r, q in zip(rows, finder.models["person"].probability(finder.features("person", rows))):
-            for w in {r[7], r[8]} if r[3][7] else {r[7]}:
-                _add(sums, "person", w, float(q))
+    def with_sample(names: DataFrame) -> Finder:
+        """The finder that knows the words of the sample, which bounds them."""
+        return finder.knowing(_known(own.where("block % 2 = 1"), context, names).drop("block").distinct().toPandas())
+
+    fitting = with_sample(common)
+    for kind in KINDS:
+        finder.models[kind] = fitting._fit_kind(kind, sample[kind])
 
     # Names that stand where listed names stand are learned; then the trees are fitted again.
-    words = _tally(proposals, votes)
-    finder.learned = frozenset(
-        w for w, q, n in zip(words["word"], words["good"], words["n"]) if n >= 2 and q / n > 0.6 and finder.common.get(w, 0) < 3)
-    finder.models["person"] = finder._fit_kind("person", sample["person"])
+    words = _name_sums(proposals, _known(own, context, common), finder, _votes).where((F.col("n") >= 2) & (F.col("good") / F.col("n") > 0.6))
+    learned = words.select("word", F.lit(1.0).alias("n")).join(common.select("word", "good"), "word", "full")
+    usual = F.coalesce("good", F.lit(0.0))
+    named = materialize(learned.select(
+        F.lit("name").alias("kind"), "word", usual.alias("good"), F.when(usual < 3, F.coalesce("n", F.lit(0.0))).otherwise(0.0).alias("n")), "names")
+    finder.models["person"] = with_sample(named)._fit_kind("person", sample["person"])
+    finder.words, finder.fitted = context.unionByName(named), (proposals, own)
     return finder
 
 
+def _selected(proposals: DataFrame, finder: Finder, use, schema: str) -> DataFrame:
+    """What ``use`` makes of rows and their items, for every block."""
+    def run(knowing: Finder, texts: pd.DataFrame) -> pd.DataFrame:
+        parts = [texts.iloc[at : at + 500] for at in range(0, len(texts), 500)]
+        return pd.concat([use(part, knowing.choose([pickle.loads(b) for b in part["found"]])) for part in parts])
+
+    own = finder.fitted[1] if finder.fitted and finder.fitted[0] is proposals else _block_words(proposals)
+    return _by_block(proposals, _known(own, finder.words), finder, run, schema)
+
+
 def find_items(proposals: DataFrame, finder: Finder, key: str = "doc_id") -> DataFrame:
     """(key, kind, char_start, char_end) of every item."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                found = finder.choose([pickle.loads(b) for b in part["found"]])
-                rows = [(k, *item) for k, items in zip(part["key"], found) for item in items]
-                yield pd.DataFrame(rows, columns=["key", "kind", "char_start", "char_end"])
+    def items(part: pd.DataFrame, found: list[list[tuple]]) -> pd.DataFrame:
+        rows = [(k, *item) for k, of in zip(part["key"], found) for item in of]
+        return pd.DataFrame(rows, columns=["key", "kind", "char_start", "char_end"])
 
     kind = proposals.schema["key"].dataType.simpleString()
-    return proposals.select("key", "found").mapInPandas(run, f"key {kind}, kind string, char_start long, char_end long").withColumnRenamed("key", key)
+    return _selected(proposals, finder, items, f"key {kind}, kind string, char_start long, char_end long").withColumnRenamed("key", key)
 
 
 def redact(documents: DataFrame, finder: Finder, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, text) with every item replaced by ``[KIND]`` and all else unchanged."""
-    @F.pandas_udf("string")
-    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            texts = [None if t is None else t for t in s]
-            out = []
-            for t, items in zip(texts, finder.find_batch(texts)):
-                for kind, a, b in reversed(items):
-                    t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
-                out.append(t)
-            yield pd.Series(out, dtype=object)
-
-    return documents.select(key, replace(F.col(text)).alias("text"))
+    def replaced(part: pd.DataFrame, found: list[list[tuple]]) -> pd.DataFrame:
+        out = []
+        for t, items in zip(part["text"], found):
+            for kind, a, b in reversed(items):
+                t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
+            out.append(t)
+        return pd.DataFrame({"key": part["key"], "text": out})
+
+    rows = _propose(documents, finder.names, text, key, True)
+    kind = documents.schema[key].dataType.simpleString()
+    done = _selected(rows.where("found is not null"), finder, replaced, f"key {kind}, text string")
+    return rows.where("found is null").select("key", "text").unionByName(done).withColumnRenamed("key", key)

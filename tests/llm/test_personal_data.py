@@ -1,3 +1,4 @@
+from spanweave.llm import personal_data
 from spanweave.llm.personal_data import Finder, candidates, find_items, fit_finder, propose, redact
 
 
@@ -46,3 +47,25 @@ def test_unseen_word_has_no_label_to_take_out():
     finder.context["person"] = {"<near": (3.0, 4.0)}
     assert finder.score("person", "far", "<", 1) == finder.score("person", "far", "<") == 0.2
     assert finder.score("person", "near", "<", 1) == (2.0 + 0.2) / 4
+
+
+def test_counts_have_no_cap_and_blocks_change_nothing(spark, monkeypatch):
+    names = spark.createDataFrame([("Ravi",), ("Anna",)], "given_name string")
+    texts = []
+    for i in range(80):
+        texts += [f"we met {('Ravi', 'Anna', 'Zuri', 'Omar')[i % 4]} Person{chr(97 + i % 26)} yesterday and left.", f"the Old Bridge{chr(97 + i % 26)} stands here. the Stone Gate fell.",
+                  f"they saw Odd{chr(97 + i % 26)} Case near x{i} and called +91 98480 {10000 + i} at noon."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def found():
+        proposals = propose(docs, names)
+        finder = fit_finder(proposals, names)
+        return {tuple(r) for r in find_items(proposals, finder).collect()}, {tuple(r) for r in redact(docs, finder).collect()}, proposals
+
+    whole, texts_whole, _ = found()
+    monkeypatch.setattr(personal_data, "KNOWN_WORDS", 3, raising=False)
+    monkeypatch.setattr(personal_data, "BLOCK", 4, raising=False)
+    parts, texts_parts, proposals = found()
+    assert parts == whole and texts_parts == texts_whole
+    assert {k for _, k, _, _ in whole} >= {"person", "phone"}
+    assert proposals.select("block").distinct().count() > 20
