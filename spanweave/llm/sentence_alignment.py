@@ -1,11 +1,14 @@
 """Sentence alignment in bilingual documents (problem 3).
 
 Method: a translation table t(target word | source word) is estimated by expectation
-maximization (IBM model 1 over paragraph pairs), distributed, in two tiers. Frequent words, at
-most ``TABLE_WORDS`` a side, have a dense table of bounded size: every task keeps the current
-one, adds up the expected counts of its pairs, and the counts are summed row by row. All rarer
-words have a sparse table, which is never gathered anywhere: its expected counts are joined and
-summed by word pair on the cluster, and each paragraph pair gets the entries of its own words.
+maximization (IBM model 1 over paragraph pairs), distributed, in two tiers. Frequent words have
+one table. Its columns of the most frequent target words, ``TABLE_CELLS`` cells at most, are
+dense: every task keeps the current ones, adds up the expected counts of its pairs, and the
+counts are summed row by row. Further columns, if there are any, are sparse: the same counts,
+joined and summed by word pair on the cluster. A target word's counts need no other column, and
+rows are normalized over both parts, so that the table does not depend on where it is cut. All
+rarer words have a sparse table of their own. Sparse tables are never gathered anywhere: each
+paragraph pair gets the entries of its own words.
 Names, which translation respells, are also compared through a common transliteration, and
 numbers by value. Competitive linking then accepts, within a paragraph pair, the best scored
 span pair anywhere, again and again: a link claims the words it explains, so that a sentence
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .unicode_forms import canonical_column
 
-#: Words of each side that the dense table holds at most.
-TABLE_WORDS = 2000
+#: Cells that the dense part of the table has at most.
+TABLE_CELLS = 4_000_000
 
 _SENTENCE_END = re.compile(r"(?<=[.?!।])\s+")
 _TOKEN = re.compile(r"\d+|(?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏఀ-ఄ఼-ౖౢౣ])+")
@@ -129,15 +132,16 @@ def document_frequencies(pairs: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame, share: float = 0.003, least: int = 3) -> tuple[dict[str, int], dict[str, int], dict[str, float]]:
     """Frequent words, in at least ``share`` of the pairs: ids per side, and their idf.
 
-    Of each side the ``TABLE_WORDS`` most frequent ones; the sparse table has the others.
+    The share bounds their number by that of a pair's distinct words. Of the target side the most
+    frequent words have the first ids, which are the columns of the dense part.
     """
     n = (counts.where("side = 'n'").first() or {"n": 0})["n"]
     kept = [
         r for side in "ab"
-        for r in counts.where((F.col("side") == side) & (F.col("n") >= max(least, share * n))).orderBy(F.desc("n"), "word").limit(TABLE_WORDS).collect()
+        for r in counts.where((F.col("side") == side) & (F.col("n") >= max(least, share * n))).orderBy(F.desc("n"), "word").collect()
     ]
-    a = {w: i for i, w in enumerate(sorted(r["word"] for r in kept if r["side"] == "a"))}
-    b = {w: i for i, w in enumerate(sorted(r["word"] for r in kept if r["side"] == "b"))}
+    a = {w: i for i, w in enumerate(r["word"] for r in kept if r["side"] == "a")}
+    b = {w: i for i, w in enumerate(r["word"] for r in kept if r["side"] == "b")}
     idf = {r["side"] + r["word"]: math.log((n + 1) / (r["n"] + 0.5)) for r in kept}
     return a, b, idf
 
@@ -166,12 +170,27 @@ def _sum_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": pdf["row"].iloc[:1], "counts": [np.sum(np.stack(pdf["counts"].to_numpy()), axis=0)]})
 
 
+def dense_columns(a: dict[str, int], b: dict[str, int]) -> int:
+    """How many columns, from the first, the dense part has."""
+    return min(len(b), TABLE_CELLS // (len(a) + 1))
+
+
 def estimate_table(bags: DataFrame, a: dict[str, int], b: dict[str, int], rounds: int = 6) -> np.ndarray:
-    """The dense translation table, |a|+1 rows (the last is the empty word) by |b| columns."""
-    na, nb = len(a) + 1, len(b)
-    table = np.full((na, max(nb, 1)), 1.0 / max(nb, 1))
+    """The dense part of the translation table, |a|+1 rows (the last is the empty word) by ``dense_columns``."""
+    return estimate_tables(bags, a, b, rounds)[0]
+
+
+def estimate_tables(bags: DataFrame, a: dict[str, int], b: dict[str, int], rounds: int = 6) -> tuple[np.ndarray, DataFrame | None, DataFrame | None]:
+    """The dense part; the entries (a, b, t) of the further columns and their cells, None if there are none."""
+    na, nb, dense = len(a) + 1, len(b), dense_columns(a, b)
+    table = np.full((na, dense if nb else 1), 1.0 / max(nb, 1))
     if not a or not b:
-        return table
+        return table, None, None
+    cells = further = None
+    pair = ["source_id", "target_id"]
+    if dense < nb:
+        cells = further_cells(bags, na - 1, dense)
+        further = cells.select("a", "b").distinct().withColumn("t", F.lit(1.0 / nb))
     for _ in range(rounds):
         current = table.astype(np.float32)
 
@@ -179,6 +198,8 @@ def estimate_table(bags: DataFrame, a: dict[str, int], b: dict[str, int], rounds
             counts = np.zeros(current.shape)
             for pdf in batches:
                 for src, dst in zip(pdf["src"], pdf["dst"]):
+                    dst = np.asarray(dst, np.int64)
+                    dst = dst[dst < dense]
                     if len(dst):
                         rows = np.append(np.asarray(src, np.int64), na - 1)
                         block = current[np.ix_(rows, dst)]
@@ -189,10 +210,39 @@ def estimate_table(bags: DataFrame, a: dict[str, int], b: dict[str, int], rounds
         # One row per source word and task, then one per source word: bounded by the vocabulary.
         schema = "row int, counts array<double>"
         total = np.zeros(current.shape)
-        for r in bags.select("src", "dst").mapInPandas(expect, schema).groupBy("row").applyInPandas(_sum_rows, schema).toLocalIterator():
-            total[r["row"]] = r["counts"]
-        table = total / np.maximum(total.sum(axis=1, keepdims=True), 1e-30)
-    return table
+        if dense:
+            for r in bags.select("src", "dst").mapInPandas(expect, schema).groupBy("row").applyInPandas(_sum_rows, schema).toLocalIterator():
+                total[r["row"]] = r["counts"]
+        sums = total.sum(axis=1, keepdims=True)
+        if cells is not None:
+            scored = cells.join(further, ["a", "b"])
+            each = scored.groupBy(*pair, "b").agg(F.sum("t").alias("k"))
+            expected = materialize(
+                scored.join(each, [*pair, "b"]).groupBy("a", "b").agg(F.sum(F.col("t") / F.greatest("k", F.lit(1e-30))).alias("c")), "expected")
+            for r in expected.groupBy("a").agg(F.sum("c").alias("c")).toLocalIterator():
+                sums[r["a"]] += r["c"]
+            rows = bags.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(sums[:, 0])], "a int, all double")
+            further = materialize(expected.join(rows, "a").select("a", "b", (F.col("c") / F.greatest("all", F.lit(1e-30))).alias("t")), "further")
+        table = total / np.maximum(sums, 1e-30)
+    return table, further, cells
+
+
+def further_cells(bags: DataFrame, empty: int, dense: int) -> DataFrame:
+    """(source_id, target_id, a, b): every frequent source word, and the empty one, with every target word beyond the dense columns."""
+    some = bags.select("source_id", "target_id", "src", F.explode(F.filter("dst", lambda w: w >= dense)).alias("b"))
+    return materialize(some.select("source_id", "target_id", F.explode(F.concat("src", F.array(F.lit(empty)))).alias("a"), "b"), "further-cells")
+
+
+def further_translations(cells: DataFrame, further: DataFrame, a: dict[str, int], b: dict[str, int]) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """For each pair the entries (a, b, t) of its words in the further columns, and which words those columns translate with some certainty."""
+    sure = further.where((F.col("a") < len(a)) & (F.col("t").cast("float") > 0.25))
+    sure_a, sure_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    for name, known in (("a", sure_a), ("b", sure_b)):
+        for r in sure.select(name).distinct().toLocalIterator():
+            known[r[name]] = True
+    entry = F.struct("a", "b", F.col("t").cast("float").alias("t"))
+    own = cells.join(further, ["a", "b"]).groupBy("source_id", "target_id").agg(F.collect_list(entry).alias("further"))
+    return own, sure_a, sure_b
 
 
 def rare_translations(bags: DataFrame, counts: DataFrame, rounds: int = 2, least: float = 2.0) -> DataFrame:
@@ -223,7 +273,7 @@ def rare_translations(bags: DataFrame, counts: DataFrame, rounds: int = 2, least
     return cells.join(known, ["a", "b"]).groupBy(*pair).agg(F.collect_list(F.struct("a", "b", "p")).alias("tail"))
 
 
-def _type_matches(src: list[str], dst: list[str], a: dict, b: dict, table: np.ndarray, keys: dict[str, str], tail: dict) -> np.ndarray:
+def _type_matches(src: list[str], dst: list[str], a: dict, b: dict, table: np.ndarray, keys: dict[str, str], tail: dict, further: dict) -> np.ndarray:
     """How well each distinct target word is explained by each distinct source word, from 0 to 1."""
     out = np.zeros((len(src), len(dst)), np.float32)
     at = {v: i for i, v in enumerate(src)}
@@ -242,12 +292,17 @@ def _type_matches(src: list[str], dst: list[str], a: dict, b: dict, table: np.nd
                 out[i, j] = 1.0
     rows = np.array([a.get(_plain(v), -1) for v in src])
     cols = np.array([b.get(w, -1) for w in dst])
-    r, c = np.flatnonzero(rows >= 0), np.flatnonzero(cols >= 0)
+    r, c = np.flatnonzero(rows >= 0), np.flatnonzero((cols >= 0) & (cols < table.shape[1]))
     if len(r) and len(c):
         p = table[np.ix_(rows[r], cols[c])]
         strength = np.minimum(p / 0.25, 1) * (p > 2 * table[-1][cols[c]])
         block = np.ix_(r, c)
         out[block] = np.maximum(out[block], strength)
+    empty = len(a)
+    for j in np.flatnonzero(cols >= table.shape[1]) if further else ():
+        p = np.array([further.get((v, cols[j]), 0.0) for v in rows], np.float32)
+        strength = np.minimum(p / 0.25, 1) * (p > 2 * np.float32(further.get((empty, cols[j]), 0.0))) * (rows >= 0)
+        out[:, j] = np.maximum(out[:, j], strength)
     if tail:
         plain = {_plain(v): i for i, v in enumerate(src)}
         column = {w: j for j, w in enumerate(dst)}
@@ -258,17 +313,18 @@ def _type_matches(src: list[str], dst: list[str], a: dict, b: dict, table: np.nd
 
 
 def known_words(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which source and target words the table translates with some certainty."""
+    """Which source and target words the dense part translates with some certainty."""
     return (table[:-1] > 0.25).any(axis=1), (table[:-1] > 0.25).any(axis=0)
 
 
 def align(
     source_text: str, target_text: str, a: dict, b: dict, idf: dict, table: np.ndarray, least: float = 0.5,
-    keys: dict | None = None, known: tuple | None = None, tail: dict | None = None,
+    keys: dict | None = None, known: tuple | None = None, tail: dict | None = None, further: dict | None = None,
 ) -> list[tuple[int, int]]:
     """Links (source sentence, target sentence) of one paragraph pair, by competitive linking.
 
     ``tail``: translations (source word, target word) -> probability of the pair's rarer words.
+    ``further``: those of its frequent words beyond the dense columns, by ids.
     """
     S, D = [english_words(s) for s in sentences(source_text)], [telugu_words(s) for s in sentences(target_text)]
     if not S or not D:
@@ -300,7 +356,7 @@ def align(
         return min(idf["b" + w], rare) if known_b[j] else 0.0
 
     src, dst = list(in_source), list(in_target)
-    types = _type_matches(src, dst, a, b, table, keys, tail)
+    types = _type_matches(src, dst, a, b, table, keys, tail, further or {})
     si, di = {w: i for i, w in enumerate(src)}, {w: i for i, w in enumerate(dst)}
     ws, wd = np.array([weight_s(w) for w in src]), np.array([weight_d(w) for w in dst])
     IS, ID = [np.array([si[w] for w in s], np.int64) for s in S], [np.array([di[w] for w in d], np.int64) for d in D]
@@ -371,19 +427,28 @@ def aligned_sentences(paragraphs: DataFrame, share: float = 0.003, rounds: int =
     counts = document_frequencies(pairs)
     a, b, idf = vocabulary(counts, share)
     bags = word_bags(pairs, a, b)
-    table = estimate_table(bags, a, b, rounds).astype(np.float32)
+    table, further, cells = estimate_tables(bags, a, b, rounds)
+    table = table.astype(np.float32)
     known = known_words(table)
+    texts = pairs.join(rare_translations(bags, counts), ["source_id", "target_id"], "left")
+    if further is not None:
+        entries, sure_a, sure_b = further_translations(cells, further, a, b)
+        sure_b[: table.shape[1]] = known[1]
+        known = known[0] | sure_a, sure_b
+        texts = texts.join(entries, ["source_id", "target_id"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys: dict[str, str] = {}
         for pdf in batches:
             rows = []
-            for s, t, x, y, tail in zip(pdf["source_id"], pdf["target_id"], pdf["source_text"], pdf["target_text"], pdf["tail"]):
+            more = pdf["further"] if "further" in pdf else [None] * len(pdf)
+            for s, t, x, y, tail, beyond in zip(pdf["source_id"], pdf["target_id"], pdf["source_text"], pdf["target_text"], pdf["tail"], more):
                 own = {(r["a"], r["b"]): r["p"] for r in tail} if tail is not None else {}
-                rows += [(s, i, t, j) for i, j in align(x, y, a, b, idf, table, least, keys, known, own)]
+                beyond = {(r["a"], r["b"]): r["t"] for r in beyond} if beyond is not None else {}
+                rows += [(s, i, t, j) for i, j in align(x, y, a, b, idf, table, least, keys, known, own, beyond)]
             if len(keys) > 500_000:
                 keys.clear()
             yield pd.DataFrame(rows, columns=["source_id", "source_sent", "target_id", "target_sent"])
 
-    return pairs.join(rare_translations(bags, counts), ["source_id", "target_id"], "left").mapInPandas(
+    return texts.mapInPandas(
         run, "source_id string, source_sent int, target_id string, target_sent int")

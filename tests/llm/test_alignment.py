@@ -72,3 +72,28 @@ def test_rarer_words_are_translated_without_a_table(spark):
                 best[x["a"]] = (x["b"], x["p"])
     assert sum(best.get(f"alpha{k}", ("",))[0] == f"ఆ{k}" for k in range(12)) >= 10
     assert sum(best.get(f"beta{k}", ("",))[0] == f"బీ{k}" for k in range(12)) >= 10
+
+
+def test_columns_beyond_the_dense_part_are_exact(spark, monkeypatch):
+    rng = random.Random(3)
+    bags = [(f"s{k}", f"t{k}", sorted(rng.sample(range(6), 3)), sorted(rng.sample(range(5), 3))) for k in range(40)]
+    df = spark.createDataFrame(bags, "source_id string, target_id string, src array<int>, dst array<int>")
+    a, b = {f"a{i}": i for i in range(6)}, {f"b{i}": i for i in range(5)}
+    monkeypatch.setattr(sa, "TABLE_CELLS", 14, raising=False)  # two of the five columns
+    table, further, _ = sa.estimate_tables(df, a, b, 3)
+    assert table.shape == (7, 2)
+    got = {(r["a"], r["b"]): r["t"] for r in further.collect()}
+    expected = brute_em([(s, d) for _, _, s, d in bags], 3)
+    for i in range(7):
+        for j in range(5):
+            x = table[i, j] if j < 2 else got.get((i, j), 0.0)
+            assert abs(x - expected.get((i if i < 6 else None, j), 0.0)) < 1e-4
+
+
+def test_links_do_not_depend_on_the_dense_part(spark, monkeypatch):
+    rows, _ = corpus(60)
+    df = spark.createDataFrame(rows, "context_id string, orig_context_id string, context string")
+    whole = sorted(map(tuple, sa.aligned_sentences(df, rounds=3).collect()))
+    monkeypatch.setattr(sa, "TABLE_WORDS", 5, raising=False)  # the former cap
+    monkeypatch.setattr(sa, "TABLE_CELLS", 22 * 5, raising=False)
+    assert whole and sorted(map(tuple, sa.aligned_sentences(df, rounds=3).collect())) == whole
